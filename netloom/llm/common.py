@@ -40,6 +40,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(texts: list[str | None], size: int = 1 << 20):
+    """Bounds of runs of texts of about ``size`` characters, or of one longer text."""
+    at = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > at and total + n > size:
+            yield at, i
+            at = i
+            total = 0
+        total += n
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of ``edges(a, b)`` (both bigint).
 

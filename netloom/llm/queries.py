@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import simhash
+from netloom.llm import language, packing, simhash, toxicity
 from netloom.llm.common import read_table
 
+#: Where the public vocabulary files are.
+TOKENIZERS = os.environ.get("NETLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents packed into sequences of 4096 ids by minimum bin slack."""
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096)
+    return packing.digests(pieces)
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash over 3-word shingles, links at 3 or fewer differing bits."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), radius=3, words=3)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by noisy-or over its sentences."""
+    return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by unigrams summed over all segmentations."""
+    return language.judge(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES = {
+    "op4_packing": op4_packing,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
