@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import language, packing, simhash, toxicity
+from netloom.llm import language, media, packing, sharding, simhash, toxicity
 from netloom.llm.common import read_table
 
 #: Where the public vocabulary files are.
@@ -19,11 +19,21 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(pieces)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as media members of archives, read back by byte ranges."""
+    return media.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash over 3-word shingles, links at 3 or fewer differing bits."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), radius=3, words=3)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
+    return sharding.shard(read_table(spark, sf_dir, "documents"), shards=40)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by noisy-or over its sentences."""
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -36,7 +46,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op6_media": op6_media,
     "op7_simhash": op7_simhash,
+    "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
