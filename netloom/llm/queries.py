@@ -6,13 +6,18 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import language, media, packing, sharding, simhash, toxicity
+from netloom.llm import language, media, packing, secrets, sharding, simhash, toxicity
 from netloom.llm.common import read_table
 
 #: Where the public vocabulary files are.
 TOKENIZERS = os.environ.get("NETLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: fixed patterns and sliding-window entropy."""
+    return secrets.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 4096 ids by minimum bin slack."""
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096)
@@ -45,6 +50,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op4_packing": op4_packing,
     "op6_media": op6_media,
     "op7_simhash": op7_simhash,
@@ -53,4 +59,6 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secrets": secrets.ORACLE_SQL,
+}
