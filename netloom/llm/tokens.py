@@ -38,7 +38,7 @@ class IdEncoder:
 
     _held: dict[str, IdEncoder] = {}
     #: Words whose ids a worker keeps; beyond that it starts anew.
-    WORDS = 400_000
+    WORDS = 250_000
 
     @classmethod
     def shared(cls, path: str) -> IdEncoder:
@@ -49,10 +49,9 @@ class IdEncoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path = path
+        self._exact = None
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
@@ -66,20 +65,44 @@ class IdEncoder:
             rank = ranks.setdefault(key, len(ranks))
             ids[rank] = i
         self.ids = ids
+        self.last = np.zeros(len(ids), bool)  # ranks that end a piece
+        self.last[[r for k, r in ranks.items() if k.endswith(b"\x01")]] = True
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
 
+    @property
+    def exact(self):
+        """The tokenizer itself; most workers never need it."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+            self._exact.encode_special_tokens = True
+        return self._exact
+
     def _exactly(self, text: str) -> bytes:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if len(word) > 2000:  # merging a piece takes time with the square of its length
-            return self._exactly(word)
-        pieces = _PIECES.findall(word)
-        if not pieces:
-            return b""
-        out = self.merge.encode_ordinary(_MARK.join(pieces) + _MARK)
-        return self.ids[out].astype("<u2").tobytes()
+    def _learn(self, words: list[str]) -> None:
+        """Add new words to the cache: one call for all of them."""
+        cache = self.cache
+        counts, flat = [], []
+        for w in words:
+            if len(w) > 2000:  # merging a piece takes time with the square of its length
+                cache[w] = self._exactly(w)
+                counts.append(0)
+                continue
+            pieces = [w] if w.isalpha() else _PIECES.findall(w)
+            counts.append(len(pieces))
+            flat += pieces
+        ranks = np.array(self.merge.encode_ordinary(_MARK.join(flat) + _MARK) if flat else [], np.int64)
+        ids = self.ids[ranks].astype("<u2").tobytes()
+        ends = np.append(0, 2 * (np.flatnonzero(self.last[ranks]) + 1)).tolist()
+        at = 0
+        for w, n in zip(words, counts, strict=True):
+            if n or w not in cache:
+                cache[w] = ids[ends[at] : ends[at + n]]
+                at += n
 
     def packed(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -94,7 +117,5 @@ class IdEncoder:
             pass
         if len(cache) > self.WORDS:
             cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = self._word(w)
+        self._learn([w for w in dict.fromkeys(words) if w not in cache])
         return b"".join([cache[w] for w in words])
