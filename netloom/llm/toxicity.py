@@ -24,8 +24,8 @@ from netloom.llm.wordhash import Words, split_words
 BITS = 17
 PREFIXES = (4, 5)
 #: Labelled documents that a fit takes at most, in expectation, and their bytes of text.
-FIT_ROWS = 6000
-FIT_BYTES = 20_000_000
+FIT_ROWS = 5000
+FIT_BYTES = 12_000_000
 
 
 def features(w: Words, bits: int = BITS) -> np.ndarray:
@@ -68,6 +68,19 @@ class Model:
         ]
 
 
+def gathered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, document and sentence of every word, gathered a slice of texts at a time."""
+    parts = []
+    sentences = 0
+    for at, to in slices(texts):
+        w = split_words(texts[at:to], PREFIXES, digits=False)
+        parts.append((features(w).astype(np.int32), (w.doc + at).astype(np.int32), w.sentence + sentences))
+        if len(w.sentence):
+            sentences += int(w.sentence[-1]) + 1
+    f, doc, sentence = zip(*parts, strict=True)
+    return np.concatenate(f), np.concatenate(doc), np.concatenate(sentence)
+
+
 def telling(f: np.ndarray, doc: np.ndarray, total: np.ndarray, y: np.ndarray, least: float = 4.0) -> np.ndarray:
     """Which indices are denser in toxic documents than in others: their mean share of a
     document's words differs by over ``least`` standard errors (Welch), and at least 3 toxic
@@ -76,7 +89,7 @@ def telling(f: np.ndarray, doc: np.ndarray, total: np.ndarray, y: np.ndarray, le
     n1, n0 = max(pos.sum(), 1), max((~pos).sum(), 1)
     seen, s1, s0, q1, q0 = (np.zeros(1 << BITS) for _ in range(5))
     for c in range(f.shape[1]):
-        pair, n = np.unique(f[:, c].astype(np.int64) * docs + doc, return_counts=True)
+        pair, n = np.unique(f[:, c].astype(np.int64) * docs + doc, return_counts=True)  # sorted: by index
         j, d = pair // docs, pair % docs
         x = np.minimum(n / np.maximum(total[d], 40), 0.1)
         on = pos[d]
@@ -101,19 +114,18 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 60, rate: flo
         share = min(max(share, 0.01), 0.99)
         lam = -np.log1p(-share)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(np.expm1(lam))), 1.0)
-    w = split_words(texts, PREFIXES, digits=False)
-    first = np.flatnonzero(np.diff(w.sentence, prepend=-1))
-    count = np.diff(np.append(first, len(w.hash)))
-    doc = w.doc[first]
-    f = features(w).astype(np.int32)
-    total = np.maximum(np.bincount(w.doc, minlength=len(texts)), 1)
-    known = telling(f, w.doc, total, y)
+    f, of_doc, sentence = gathered(texts)
+    first = np.flatnonzero(np.diff(sentence, prepend=-1))
+    count = np.diff(np.append(first, len(f)))
+    doc = of_doc[first]
+    total = np.maximum(np.bincount(of_doc, minlength=len(texts)), 1)
+    known = telling(f, of_doc, total, y)
     f[~known[f]] = 1 << BITS  # a place that stays 0
     sent_of_word = np.repeat(np.arange(len(first)), count)
     keep = (f < (1 << BITS)).ravel()
     idx = f.ravel()[keep]
     sen = np.repeat(sent_of_word, f.shape[1])[keep].astype(np.int32)
-    del f, w
+    del f
     words = np.maximum(np.bincount(doc, count, len(texts)), 1)
     share = count / words[doc]
     has = np.bincount(doc, minlength=len(texts)) > 0
