@@ -40,7 +40,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list[str | None], size: int = 1 << 20):
+def slices(texts: list[str | None], size: int = 1 << 18):
     """Bounds of runs of texts of about ``size`` characters, or of one longer text."""
     at = total = 0
     for i, t in enumerate(texts):

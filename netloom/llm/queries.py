@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import language, media, packing, secrets, sharding, simhash, toxicity
+from netloom.llm import decontaminate, language, media, packing, secrets, sharding, simhash, toxicity
 from netloom.llm.common import read_table
 
 #: Where the public vocabulary files are.
@@ -18,6 +18,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item: every item against every document."""
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 4096 ids by minimum bin slack."""
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096)
@@ -51,6 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_decontaminate": op2_decontaminate,
     "op4_packing": op4_packing,
     "op6_media": op6_media,
     "op7_simhash": op7_simhash,

@@ -6,18 +6,26 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_P = 0x9E3779B97F4A7C15 | 1
-#: Powers for the places of a word; places beyond them use them again from the start.
-_PLACES = 1 << 12
+_P = 0x9E3779B97F4A7C15
+_INVERSE = pow(_P, -1, 1 << 64)
 
 
-def _powers() -> np.ndarray:
-    out = np.ones(_PLACES, np.uint64)
-    np.multiply.accumulate(np.full(_PLACES - 1, _P, np.uint64), out=out[1:])
-    return out
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest batch so far needs."""
 
+    def __init__(self) -> None:
+        self.n = 0
 
-_POWERS = _powers()
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            self.n = max(1 << 19, 1 << (n - 1).bit_length())
+            self.up, self.down = (np.ones(self.n, np.uint64) for _ in range(2))
+            np.multiply.accumulate(np.full(self.n - 1, _P, np.uint64), out=self.up[1:])
+            np.multiply.accumulate(np.full(self.n - 1, _INVERSE, np.uint64), out=self.down[1:])
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
 _LETTER[ord("A") : ord("Z") + 1] = True
@@ -62,15 +70,13 @@ def split_words(texts: list[str | None], prefixes: tuple[int, ...] = (), digits:
         none = np.zeros(0, np.int64)
         return Words(none.view(np.uint64), none, none, none, none, {m: none.view(np.uint64) for m in prefixes})
     size = stop - start
-    at = np.flatnonzero(word)
-    first = np.zeros(len(start), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    place = np.arange(len(at)) - np.repeat(first, size)
-    value = _VALUE[b[at]] * _POWERS[place % _PLACES]
-    whole = _mix(np.add.reduceat(value, first))
-    heads = {}
-    for m in prefixes:
-        heads[m] = _mix(np.add.reduceat(np.where(place < m, value, np.uint64(0)), first) + np.uint64(m))
+    up, down = _POWERS.upto(len(b) + 1)
+    # sums of value * base ** place from the batch's start; a word's share is a difference
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUE[b] * up[:-1], out=sums[1:])
+    before, scale = sums[start], down[start]
+    whole = _mix((sums[stop] - before) * scale)
+    heads = {m: _mix((sums[np.minimum(start + m, stop)] - before) * scale + np.uint64(m)) for m in prefixes}
     doc = np.searchsorted(ends, start, side="right")
     sentence = np.cumsum(_END[b])[start]
     base = np.concatenate([[0], ends])[doc]
