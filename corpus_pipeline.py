@@ -1,14 +1,61 @@
-"""Corpus preparation in stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Corpus preparation in stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Toxic documents go, one document of each group of near duplicates stays, documents that hold
+benchmark items go, secrets are masked, and what is left is packed into token sequences.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.llm import decontaminate, packing, secrets, simhash, toxicity
 from netloom.llm.common import materialise, read_table
+from netloom.llm.queries import TOKENIZERS
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5. All labelled documents may teach."""
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), modulus=1, remainder=1)
+    return toxicity.without_toxic(docs, model)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: 5-word shingles, similarity 0.8 or more."""
+    return simhash.without_near_duplicates(docs, words=5, similarity=0.8)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked; n_chars follows the text where it is changed."""
+    clean = secrets.redact(docs.withColumn("__before", F.col("text")))
+    n = F.when(F.col("text") != F.col("__before"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its place and its ids' checksum."""
+    return packing.digests(packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Models, fingerprints and token ids can't be had in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)

@@ -75,15 +75,18 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_links(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+def tile_links(group: np.ndarray, fp: np.ndarray, radius: int, more: np.ndarray | None = None) -> np.ndarray:
     """The least row that each row reaches by links of ``radius`` differing bits or fewer
     inside its group. Rows are ordered by group and population count and compared along
     the diagonals of each group's tile; a diagonal ends where the counts are further apart
     than the radius, as they differ by no more than the bits do."""
     n = len(fp)
     pop = np.bitwise_count(fp).astype(np.int64)
+    if more is not None:  # 64 further bits of each
+        pop += np.bitwise_count(more)
     order = np.lexsort((pop, group))
     g, x, p = group[order], fp[order], pop[order]
+    z = more[order] if more is not None else None
     label = np.arange(n)
     live = np.arange(n)
     shift = 1
@@ -94,7 +97,10 @@ def tile_links(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
         live = live[(g[live] == g[live + shift]) & (p[live + shift] - p[live] <= radius)]
         if not len(live):
             break
-        hit = live[np.bitwise_count(x[live] ^ x[live + shift]) <= radius]
+        differ = np.bitwise_count(x[live] ^ x[live + shift])
+        if z is not None:
+            differ = differ + np.bitwise_count(z[live] ^ z[live + shift])
+        hit = live[differ <= radius]
         if len(hit):
             ends_i.append(hit)
             ends_j.append(hit + shift)
@@ -109,18 +115,9 @@ def tile_links(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def _compare(radius: int):
-    """Links within each group of rows sorted by (k, pair); a group may span batches."""
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf["k"].to_numpy()
-        pair = pdf["pair"].to_numpy()
-        change = np.ones(len(k), bool)
-        change[1:] = (k[1:] != k[:-1]) | (pair[1:] != pair[:-1])
-        root = tile_links(np.cumsum(change), pdf["fp"].to_numpy().view(np.uint64), radius)
-        far = root != np.arange(len(root))
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
+def by_group(links, columns: tuple[str, str]):
+    """A function over batches of rows sorted by two columns that calls ``links`` on whole
+    groups only; a group may span batches."""
 
     def run(batches):
         rest = None
@@ -129,8 +126,8 @@ def _compare(radius: int):
                 continue
             if rest is not None:
                 pdf = pd.concat([rest, pdf], ignore_index=True)
-            last = pdf[["k", "pair"]].iloc[-1]
-            tail = (pdf["k"] == last["k"]) & (pdf["pair"] == last["pair"])
+            last = pdf[list(columns)].iloc[-1]
+            tail = (pdf[columns[0]] == last.iloc[0]) & (pdf[columns[1]] == last.iloc[1])
             rest = pdf[tail]
             if not tail.all():
                 yield links(pdf[~tail].reset_index(drop=True))
@@ -140,16 +137,34 @@ def _compare(radius: int):
     return run
 
 
+def _compare(radius: int):
+    """Links within each group of rows sorted by (k, pair)."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf["k"].to_numpy()
+        pair = pdf["pair"].to_numpy()
+        change = np.ones(len(k), bool)
+        change[1:] = (k[1:] != k[:-1]) | (pair[1:] != pair[:-1])
+        more = pdf["more"].to_numpy().view(np.uint64) if "more" in pdf else None
+        root = tile_links(np.cumsum(change), pdf["fp"].to_numpy().view(np.uint64), radius, more)
+        far = root != np.arange(len(root))
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
+
+    return by_group(links, ("k", "pair"))
+
+
 def bucket_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """``keyed(k bigint, fp bigint, id bigint)`` -> ``(a, b)``: for each k a spanning forest
-    of the links of ``radius`` bits or fewer.
+    of the links of ``radius`` bits or fewer. A column ``more`` holds 64 further bits.
 
     A k of over ``tile`` rows is split into tiles by population count and salt. Only pairs
     of tiles whose counts differ by the radius at most are dealt out, each to one group, so
     that no task gets a whole large bucket.
     """
     spark = keyed.sparkSession
-    pop = F.expr("bit_count(fp)").cast("bigint")
+    more = ["more"] if "more" in keyed.columns else []
+    pop = F.expr("bit_count(fp) + bit_count(more)" if more else "bit_count(fp)").cast("bigint")
     hot = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("k")
     fine = (
         keyed.join(hot, "k")
@@ -159,7 +174,7 @@ def bucket_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     )
     fine = materialise(fine, "tiles")
     if fine.isEmpty():
-        dealt = keyed.select("k", F.lit(0).cast("bigint").alias("pair"), "fp", "id")
+        dealt = keyed.select("k", F.lit(0).cast("bigint").alias("pair"), "fp", *more, "id")
     else:
         # (k, p) -> the tiles of p and of all counts within the radius
         near = (
@@ -179,9 +194,9 @@ def bucket_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
             salted.where("own IS NOT NULL")
             .withColumn("mine", F.shiftleft(F.col("p"), 32) + F.pmod(F.xxhash64("id"), F.col("own")))
             .withColumn("other", other)
-            .select("k", F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), "fp", "id")
+            .select("k", F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), "fp", *more, "id")
         )
-        dealt = salted.where("own IS NULL").select("k", F.lit(0).cast("bigint").alias("pair"), "fp", "id").unionByName(many)
+        dealt = salted.where("own IS NULL").select("k", F.lit(0).cast("bigint").alias("pair"), "fp", *more, "id").unionByName(many)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return (
         dealt.repartition(n, "k", "pair")
@@ -231,3 +246,144 @@ def bands_for(n: int, agree: float = 0.86, recall: float = 0.995) -> tuple[int,
     the bands with probability ``recall``."""
     bits = int(min(30, max(8, math.log2(max(n, 1)) - 5)))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+
+
+#: Near duplicates: words of a shingle, least Jaccard similarity, and bits of 128 by which the
+#: fingerprints of a pair may differ to be looked at (the similarity's mean is 15 of 128).
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 28
+#: Texts of a cluster that are compared in one task; a larger cluster is dealt out in pairs of
+#: tiles of half as many.
+CLUSTER = 512
+
+
+def _second(h: np.ndarray) -> np.ndarray:
+    """64 further bits of a shingle's hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``(uid, first, node, fp, more)``: ``node`` hashes the lower-cased words in order."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for t in pdf["text"]:
+                h = shingle_hashes(t, 3)
+                node = xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7)
+                out.append((node, fingerprint(h), fingerprint(_second(h))))
+            a = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
+            yield pd.DataFrame({"uid": pdf["uid"], "first": pdf["first"], "node": a[:, 0], "fp": a[:, 1], "more": a[:, 2]})
+
+    return docs.mapInPandas(run, "uid bigint, first bigint, node bigint, fp bigint, more bigint")
+
+
+def _banded(marks: DataFrame, bits: int, bands: int, seed: int = 11) -> DataFrame:
+    """A row for each band: ``k`` numbers the band and the value of its bits."""
+    rng = np.random.default_rng(seed)
+    chosen = [np.sort(rng.choice(128, bits, replace=False)) for _ in range(bands)]
+
+    def run(batches):
+        place = (np.int64(1) << np.arange(bits, dtype=np.int64))[:, None]
+        for pdf in batches:
+            both = np.stack([pdf["fp"].to_numpy(), pdf["more"].to_numpy()], axis=1)
+            b = np.unpackbits(np.ascontiguousarray(both).view(np.uint8).reshape(-1, 16), axis=1)
+            for i, at in enumerate(chosen):
+                k = (b[:, at].astype(np.int64) @ place)[:, 0] | (i << 40)
+                yield pd.DataFrame({"k": k, "fp": pdf["fp"], "more": pdf["more"], "id": pdf["id"]})
+
+    return marks.mapInPandas(run, "k bigint, fp bigint, more bigint, id bigint")
+
+
+def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of sorted unique arrays whose Jaccard similarity is at least percent/100."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    common = np.zeros((n, n), np.float64)
+    values, row = np.concatenate(sets), np.repeat(np.arange(n), size)
+    _, index, count = np.unique(values, return_inverse=True, return_counts=True)
+    use = count[index] > 1
+    index, row = index[use], row[use]
+    if len(index):
+        _, index = np.unique(index, return_inverse=True)
+        width = 4096
+        order = np.argsort(index, kind="stable")
+        index, row = index[order], row[order]
+        cuts = np.searchsorted(index, np.arange(0, index[-1] + width + 1, width))
+        for c, (at, to) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            m = np.zeros((n, width), np.float32)
+            m[row[at:to], index[at:to] - c * width] = 1
+            common += m @ m.T
+    union = size[:, None] + size[None, :] - common
+    return np.nonzero(np.triu(100 * common >= percent * union, 1))
+
+
+def _verify(words: int, percent: int):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for _, g in pdf.groupby(["cluster", "pair"], sort=False):
+            ids = g["id"].to_numpy()
+            if len(ids) < 2:
+                continue
+            root = _forest(len(ids), *similar_pairs([np.unique(shingle_hashes(t, words)) for t in g["text"]], percent))
+            far = root != np.arange(len(ids))
+            out_a.append(ids[far])
+            out_b.append(ids[root[far]])
+        return pd.DataFrame({"a": np.concatenate(out_a or [np.zeros(0, np.int64)]), "b": np.concatenate(out_b or [np.zeros(0, np.int64)])})
+
+    return by_group(links, ("cluster", "pair"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, cluster: int = CLUSTER) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
+
+    Texts with the same words in order (white space and the case of A-Z aside) are copies; null,
+    empty and wordless texts are copies of each other. Of the rest, pairs whose sets of
+    shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more are linked,
+    and groups are the components of the links. Candidates come from 128-bit SimHash
+    fingerprints: pairs that agree on one of many bands of bits and differ in few bits overall.
+    Bands follow the number of distinct texts, so buckets stay small. The candidates' clusters
+    are then compared exactly. Null ids come after all others; of rows sharing id and text one
+    stays. All columns of ``docs`` are kept.
+    """
+    spark = docs.sparkSession
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("uid"))
+    odd = slim.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR uid IS NULL")
+    if odd.isEmpty():
+        rows, uid = docs, F.col("doc_id").cast("bigint")
+    else:  # ids that don't tell rows apart
+        rows = materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+        uid = F.col("__uid")
+    first = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
+    texts = rows.select(uid.alias("uid"), first.alias("first"), F.col("text").cast("string").alias("text"))
+    marks = materialise(_marked(texts), "marks")
+    nodes = marks.groupBy("node").agg(
+        F.min(F.struct("first", "uid")).alias("best"), F.first("fp").alias("fp"), F.first("more").alias("more")
+    )
+    nodes = materialise(nodes.select(F.col("node").alias("id"), "best", "fp", "more"), "nodes")
+    bits, bands = bands_for(nodes.count())
+    found = connected_components(bucket_links(_banded(nodes, bits, bands), NEAR_RADIUS))
+    found = materialise(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+    sizes = found.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) * 2 / cluster).cast("bigint").alias("tiles"))
+    many = found.join(sizes.where(F.col("tiles") > 2), "cluster", "left").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
+    pairs = F.when(
+        F.col("tiles").isNotNull(),
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1), lambda t: F.shiftleft(F.least("tile", t), 32) + F.greatest("tile", t)),
+    ).otherwise(F.array(F.lit(0).cast("bigint")))
+    dealt = (
+        many.select("id", "cluster", F.explode(pairs).alias("pair"))
+        .join(nodes.select("id", F.col("best.uid").alias("uid")), "id")
+        .join(texts.select("uid", "text"), "uid")
+        .select("cluster", "pair", "id", "text")
+    )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    links = (
+        dealt.repartition(n, "cluster", "pair")
+        .sortWithinPartitions("cluster", "pair")
+        .mapInPandas(_verify(words, round(100 * similarity)), "a bigint, b bigint")
+    )
+    groups = connected_components(links)
+    of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("id", "best", F.coalesce("component", "id").alias("group"))
+    kept = of.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("__kept"))
+    return rows.join(kept, uid == F.col("__kept"), "left_semi").select(*docs.columns)

@@ -200,6 +200,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns are kept. The
+    score is computed beside each row, so neither repeated nor null ids matter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        texts = text.tolist()
+        out = np.zeros(len(texts))
+        for at, to in slices(texts):
+            out[at:to] = shared.value.score(texts[at:to])
+        return pd.Series(out)
+
+    return docs.where(scored(F.col("text").cast("string")) < threshold)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``; learned from the
     labels of rows whose crc32(doc_id) mod 5 is not 0. A null doc_id counts as not held out."""
