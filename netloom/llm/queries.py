@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import decontaminate, language, media, packing, secrets, sharding, simhash, toxicity
+from netloom.llm import decontaminate, extraction, language, media, packing, secrets, sharding, simhash, toxicity
 from netloom.llm.common import read_table
 
 #: Where the public vocabulary files are.
@@ -29,6 +29,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(pieces)
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as media members of archives, read back by byte ranges."""
     return media.digests(read_table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
     "op4_packing": op4_packing,
+    "op5_extraction": op5_extraction,
     "op6_media": op6_media,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
