@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import decontaminate, extraction, language, media, packing, secrets, sharding, simhash, toxicity
+from netloom.llm import decontaminate, extraction, language, media, packing, secrets, sharding, simhash, toxicity, urls
 from netloom.llm.common import read_table
 
 #: Where the public vocabulary files are.
@@ -23,6 +23,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL by the rules, else by boosted trees."""
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 4096 ids by minimum bin slack."""
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096)
@@ -62,6 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
+    "op3_urls": op3_urls,
     "op4_packing": op4_packing,
     "op5_extraction": op5_extraction,
     "op6_media": op6_media,
