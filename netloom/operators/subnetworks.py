@@ -55,11 +55,14 @@ def p_values(combined: DataFrame, null: DataFrame, fdr: bool = False, limit: int
     return benjamini_hochberg(out, "p", "q").select("tf", "gene", F.col("q").alias("p")) if fdr else out
 
 
-def hop(edges: DataFrame, start: DataFrame, visited: DataFrame, from_tf: bool, top: int | None = None) -> DataFrame:
-    """(seed, tf, gene) edges from the frontier (seed, node) to nodes not yet visited by the seed;
-    of these the ``top`` times frontier-size smallest p, ties by ends. Nothing if none is left."""
+def hop(edges: DataFrame, start: DataFrame, visited: DataFrame | None, from_tf: bool, top: int | None = None) -> DataFrame:
+    """(seed, tf, gene) edges from the frontier (seed, node) to nodes of the other side that the
+    seed has not visited (seed, node); of these the ``top`` times frontier-size smallest p, ties by
+    ends. Nothing if none is left."""
     near, far = ("tf", "gene") if from_tf else ("gene", "tf")
-    got = edges.join(start.withColumnRenamed("node", near), near).join(visited.withColumnRenamed("node", far), ["seed", far], "left_anti")
+    got = edges.join(start.withColumnRenamed("node", near), near)
+    if visited is not None:
+        got = got.join(visited.withColumnRenamed("node", far), ["seed", far], "left_anti")
     if top is not None:
         size = start.groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
         r = F.row_number().over(W.partitionBy("seed").orderBy("p", "tf", "gene"))
@@ -68,18 +71,20 @@ def hop(edges: DataFrame, start: DataFrame, visited: DataFrame, from_tf: bool, t
 
 
 def all_hops(edges: DataFrame, seeds: DataFrame, hops: int, top: int | None = None) -> DataFrame:
-    """(seed, hop, tf, gene) for all seeds (node) at once: gene to tf, tf to gene, and so on."""
+    """(seed, hop, tf, gene) for all seeds (node) at once: gene to tf, tf to gene, and so on. Visited
+    genes and tfs are kept apart, as both sides may use the same names."""
     from netloom.operators.communities import checkpoint_ready
 
     front = seeds.select(F.col("node").alias("seed"), "node").distinct()
-    visited = front
+    visited: dict[str, DataFrame | None] = {"gene": front, "tf": None}
     out = None
     for h in range(1, hops + 1):
-        step = checkpoint_ready(hop(edges, front, visited, from_tf=h % 2 == 0, top=top))
-        out_step = step.select("seed", F.lit(h).alias("hop"), "tf", "gene")
-        out = out_step if out is None else out.unionByName(out_step)
-        front = step.select("seed", F.col("gene" if h % 2 == 0 else "tf").alias("node")).distinct()
-        visited = visited.unionByName(front).distinct()
+        far = "tf" if h % 2 else "gene"
+        step = checkpoint_ready(hop(edges, front, visited[far], from_tf=h % 2 == 0, top=top))
+        part = step.select("seed", F.lit(h).alias("hop"), "tf", "gene")
+        out = part if out is None else out.unionByName(part)
+        front = step.select("seed", F.col(far).alias("node")).distinct()
+        visited[far] = front if visited[far] is None else visited[far].unionByName(front).distinct()
     return out
 
 

@@ -119,7 +119,7 @@ def dup_edge_sum(spark, sf):
     return _rounded(N.sum_duplicates(X.lines(spark, sf).select("tf", F.col("part").alias("gene"), F.col("q").alias("weight"))), "weight")
 
 
-_BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query("el2adj", "SELECT tf, " + ", ".join(f"coalesce(sum(CASE WHEN gene = '{b}' THEN a END), 0) AS \"{b}\"" for b in _BRANDS) + " FROM net GROUP BY tf", _LINES, _NET)
@@ -361,12 +361,12 @@ def module_scores(spark, sf):
     return _rounded(C.module_scores(d, t, g), "score")
 
 
-@query("rotation_rank", """, x AS (SELECT gene AS node, CAST(substr(gene, 7, 1) AS BIGINT) % 4 AS c1, CAST(substr(gene, 8, 1) AS BIGINT) % 3 AS c2 FROM (SELECT DISTINCT gene FROM lines)),
+@query("rotation_rank", """, x AS (SELECT gene AS node, CAST(substr(gene, 7) AS BIGINT) % 4 AS c1, CAST(substr(gene, 7) AS BIGINT) % 3 AS c2 FROM (SELECT DISTINCT gene FROM lines)),
     d AS (SELECT node, round(1 - CAST(count(*) OVER (PARTITION BY c1, c2) AS DOUBLE) / count(*) OVER (PARTITION BY c1), 9) AS deviation FROM x) SELECT node, deviation, CAST(rank() OVER (ORDER BY deviation DESC) AS INTEGER) AS rank FROM d""", _LINES)
 def rotation_rank(spark, sf):
     g = X.lines(spark, sf).select("gene").distinct()
-    part = lambda k, m: g.select(F.col("gene").alias("node"), (F.substring("gene", k, 1).cast("bigint") % m).alias("com"))
-    return C.rotation_rank(part(7, 4), part(8, 3)).withColumn("deviation", F.round("deviation", 9))
+    part = lambda m: g.select(F.col("gene").alias("node"), (F.substring("gene", 7, 9).cast("bigint") % m).alias("com"))
+    return C.rotation_rank(part(4), part(3)).withColumn("deviation", F.round("deviation", 9))
 
 
 @query("top_genes_per_module", """, s AS (SELECT gene, CAST(substr(gene, 7, 1) AS BIGINT) % 4 AS module, sum(a) AS score FROM net GROUP BY gene),
@@ -413,14 +413,14 @@ def bh_fdr(spark, sf):
     return _rounded(stats.benjamini_hochberg(_significant(spark, sf), "p", "q").select("tf", "gene", "q"), "q")
 
 
-_SIG = "sig AS (SELECT tf, gene, p FROM pv WHERE p < 0.2), seeds AS (SELECT DISTINCT gene AS seed FROM net WHERE gene IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#14'))"
+_SIG = "sig AS (SELECT tf, gene, p FROM pv WHERE p < 0.4), seeds AS (SELECT DISTINCT gene AS seed FROM net WHERE gene IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#14'))"
 _H1 = "h1 AS (SELECT seed, sig.tf, sig.gene FROM seeds JOIN sig ON sig.gene = seed)"
 _H2 = "h2 AS (SELECT DISTINCT f.seed, s.tf, s.gene FROM (SELECT DISTINCT seed, tf FROM h1) f JOIN sig s USING (tf) WHERE s.gene <> f.seed)"
 
 
 def _hops(spark, sf, n: int) -> DataFrame:
     seeds = spark.createDataFrame([(f"Brand#1{i}",) for i in range(1, 5)], "node string")
-    return S.all_hops(_significant(spark, sf).where("p < 0.2"), seeds, n)
+    return S.all_hops(_significant(spark, sf).where("p < 0.4"), seeds, n)
 
 
 @query("bfs_hop1", "SELECT seed, CAST(1 AS INTEGER) AS hop, tf, gene FROM h1", _LINES, _NET, _PV, _SIG, _H1)
@@ -560,12 +560,12 @@ def dragon_risk_grid(spark, sf):
     return g.withColumn("risk", tidy(dragon_risk((F.col("g1"), F.col("g2")), (5.0, -3.0, -2.0, 4.0, 3.0, 2.0, -1.0))))
 
 
-_TM = "tm AS (SELECT CAST(year - 1992 AS INTEGER) AS perm, flag AS tf_from, gene AS tf_to, sum(q) / 1000 AS v FROM lines GROUP BY ALL)"
+_TM = "tm AS (SELECT CAST(year - 1995 AS INTEGER) AS perm, flag AS tf_from, gene AS tf_to, sum(q) / 1000 AS v FROM lines GROUP BY ALL)"
 _SS = "ss AS (SELECT perm, tf_to AS tf, sum(v * v) AS s FROM tm GROUP BY 1, 2)"
 
 
 def _transitions(spark, sf) -> DataFrame:
-    return X.lines(spark, sf).groupBy((F.col("year") - 1992).cast("int").alias("perm"), F.col("flag").alias("tf_from"), F.col("gene").alias("tf_to")).agg((F.sum("q") / 1000).alias("v"))
+    return X.lines(spark, sf).groupBy((F.col("year") - 1995).cast("int").alias("perm"), F.col("flag").alias("tf_from"), F.col("gene").alias("tf_to")).agg((F.sum("q") / 1000).alias("v"))
 
 
 @query("tm_zscore", f"SELECT o.tf, {r6('o.s')} AS ssodm, {r6('(o.s - avg(n.s)) / nullif(stddev_samp(n.s), 0)')} AS t FROM ss o JOIN ss n ON n.tf = o.tf AND n.perm > 0 WHERE o.perm = 0 GROUP BY o.tf, o.s", _LINES, _TM, _SS)
@@ -662,10 +662,10 @@ def set_overlap_counts(spark, sf):
     return C.gene_set_overlap(m, t, 25).select("set", "module", "overlap")
 
 
-@query("multi_networks", "SELECT tf, gene, count(DISTINCT year) AS n FROM lines WHERE year BETWEEN 1993 AND 1995 GROUP BY tf, gene HAVING count(DISTINCT year) = 3", _LINES)
+@query("multi_networks", "SELECT tf, gene, count(DISTINCT year) AS n FROM lines WHERE year BETWEEN 1995 AND 1997 GROUP BY tf, gene HAVING count(DISTINCT year) = 3", _LINES)
 def multi_networks(spark, sf):
     li = X.lines(spark, sf)
-    nets = [li.where(F.col("year") == y).groupBy("tf", "gene").agg(F.sum("q").alias("score")) for y in (1993, 1994, 1995)]
+    nets = [li.where(F.col("year") == y).groupBy("tf", "gene").agg(F.sum("q").alias("score")) for y in (1995, 1996, 1997)]
     return S.combine(nets).select("tf", "gene", F.size("scores").cast("bigint").alias("n"))
 
 
