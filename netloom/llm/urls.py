@@ -30,8 +30,8 @@ RULES = (
 #: Labelled rows that a fit takes at most, in expectation.
 FIT_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE = 8, 3, 12, 0.4, 1.0
-#: Suffixes with statistics of their own, at most; the others share the overall share.
-SUFFIXES = 1000
+#: Suffixes are counted by this many hash values, so that statistics cover all of them in bounded space.
+SUFFIXES = 1024
 FEATURES = ("length", "depth", "digits", "marks", "entropy", "parameters", "labels", "suffix")
 
 
@@ -63,7 +63,8 @@ def with_rule(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 def suffix_of(host: str = "host") -> Column:
-    return F.substring_index(host, ".", -2)
+    """The hash value (from 0) of a host's last two labels."""
+    return F.pmod(F.xxhash64(F.substring_index(host, ".", -2)), F.lit(SUFFIXES)).cast("int")
 
 
 def entropy(text: str) -> str:
@@ -75,13 +76,11 @@ def entropy(text: str) -> str:
     )
 
 
-def with_features(urls: DataFrame, rates: dict[str, float], overall: float) -> DataFrame:
-    """Add ``f_<name>`` of each feature, as doubles, from ``url``, ``host`` and ``path``."""
+def with_features(urls: DataFrame, rates: list[float]) -> DataFrame:
+    """Add ``f_<name>`` of each feature, as doubles, from ``url``, ``host`` and ``path``; ``rates``
+    holds the share of blocked URLs for each hash value of a suffix."""
     url = "coalesce(url, '')"
-    rate = F.lit(overall)
-    if rates:
-        pairs = [x for k, v in sorted(rates.items()) for x in (F.lit(k), F.lit(v))]
-        rate = F.coalesce(F.try_element_at(F.create_map(*pairs), suffix_of()), F.lit(overall))
+    rate = F.element_at(F.lit(rates), suffix_of() + 1)
     made = {
         "length": F.expr(f"length({url})"),
         "depth": F.expr("length(path) - length(replace(path, '/', ''))"),
@@ -204,17 +203,15 @@ def judge(pages: DataFrame, rules=RULES, rows: int = FIT_ROWS) -> DataFrame:
     judged = with_rule(with_parts(pages.select("page_id", F.col("url").cast("string").alias("url"))), rules)
     known = judged.where("rule IS NOT NULL").withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
     stats = known.groupBy(suffix_of().alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
-    stats = materialise(stats, "suffixes")
-    n, y = stats.agg(F.sum("n"), F.sum("y")).first()
-    n, y = n or 0, y or 0.0
+    counted = {r["suffix"]: (r["n"], r["y"]) for r in stats.collect()}  # a row for each hash value
+    n, y = sum(x[0] for x in counted.values()), sum(x[1] for x in counted.values())
     overall = (y + 1) / (n + 2)
-    top = stats.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    rates = {r["suffix"]: (r["y"] + 10 * overall) / (r["n"] + 10) for r in top}
+    rates = [(b + 10 * overall) / (a + 10) for a, b in (counted.get(k, (0, 0.0)) for k in range(SUFFIXES))]
     share = min(1.0, rows / max(n, 1))
     drawn = known.where(F.pmod(F.xxhash64("url", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    labelled = with_features(drawn, rates, overall).select("y", *(f"f_{f}" for f in FEATURES))
+    labelled = with_features(drawn, rates).select("y", *(f"f_{f}" for f in FEATURES))
     trees, base = train(materialise(labelled, "labelled"))
-    scored = with_features(judged, rates, overall)
+    scored = with_features(judged, rates)
     score = 1 / (1 + F.exp(-raw_score(trees, base)))
     verdict = F.coalesce("rule_verdict", F.when(score >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
