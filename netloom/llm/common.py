@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,6 +41,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch. Rows run from a few bytes to megabytes, so rows alone bound nothing.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInPandas(run, schema)`` with batches of ``BATCH_BYTES`` at most (or of what the
+    session sets below that). Batches are cut when a plan runs, so the setting stays."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = re.match(r"\d+", conf.get(key))
+    if not known or int(known[0]) <= 0 or int(known[0]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return rows.mapInPandas(run, schema)
+
+
 def slices(texts: list[str | None], size: int = 1 << 18):
     """Bounds of runs of texts of about ``size`` characters, or of one longer text."""
     at = total = 0

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import map_batches
+
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -309,5 +311,5 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     # ids as strings: a nullable integer would pass through floating point
     rows = pages.select(F.col("page_id").cast("bigint").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    out = rows.mapInPandas(run, "page_id string, url string, text string, n_chars bigint")
+    out = map_batches(rows, run, "page_id string, url string, text string, n_chars bigint")
     return out.withColumn("page_id", F.col("page_id").cast("bigint"))

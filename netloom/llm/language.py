@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices
+from netloom.llm.common import map_batches, slices
 
 #: Documents per language that a fit takes at most, in expectation, and their characters.
 FIT_ROWS = 500
@@ -224,9 +224,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             got = [x for at, to in slices(texts) for x in shared.value.predict(texts[at:to])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in got], "score": [x for _, x in got]})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id bigint, lang_pred string, score double"
-    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id bigint, lang_pred string, score double")
 
 
 def judge(docs: DataFrame, vocabulary_path: str) -> DataFrame:

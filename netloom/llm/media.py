@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from netloom.llm.common import materialise, scratch_path
+from netloom.llm.common import map_batches, materialise, scratch_path
 
 WIDTH = 64
 #: Bytes of media in an archive, at most but for the last member.
@@ -134,7 +134,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
     # ids as strings: a nullable integer would pass through floating point
     rows = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(rows.mapInPandas(run, "path string, bytes bigint, members bigint"), "archives")
+    return materialise(map_batches(rows, run, "path string, bytes bigint, members bigint"), "archives")
 
 
 @dataclass
@@ -248,7 +248,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 )
             yield pd.DataFrame(out, columns=["member", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    got = members.select("member", "media").mapInPandas(
-        run, "member string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    got = map_batches(
+        members.select("member", "media"), run, "member string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     )
     return got.select(F.expr("try_cast(member AS bigint)").alias("doc_id"), *got.columns[1:])

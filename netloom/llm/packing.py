@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialise
+from netloom.llm.common import map_batches, materialise
 from netloom.llm.tokens import IdEncoder
 
 CAPACITY = 4096
@@ -205,9 +205,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame
             ids = [encoder.packed(t or "") + end for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "n": [len(x) // 2 for x in ids]})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id bigint, ids binary, n bigint"
-    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id bigint, ids binary, n bigint")
 
 
 def ranked(tokens: DataFrame, capacity: int) -> tuple[DataFrame, dict[int, int], int]:
@@ -290,8 +289,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                             out.append((doc, start, length, n, cols["seq"][k] + j // m, cols["offset"][k] + j % m * length, ids[2 * start : 2 * (start + length)]))
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]).astype({"doc_id": "Int64"})
 
-    return rows.mapInPandas(
-        run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+    return map_batches(
+        rows, run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     )
 
 
@@ -308,6 +307,6 @@ def digests(pieces: DataFrame) -> DataFrame:
             crc = np.array([ids_crc32(x) for x in pdf["ids"]], np.int64)
             yield pdf.drop(columns="ids").assign(ids_crc32=crc).astype({"doc_id": "Int64"})
 
-    return pieces.mapInPandas(
-        run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
+    return map_batches(
+        pieces, run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
     )

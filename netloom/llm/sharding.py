@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialise
+from netloom.llm.common import map_batches, materialise
 
 OVERHEAD = 16
 #: Fine ranges per shard, and rows per fine range at most, at the mean.
@@ -75,7 +75,7 @@ def _ranged(rows: DataFrame, bk: np.ndarray, bt: np.ndarray) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(range=locate(pdf["key"].to_numpy(), pdf["tie"].to_numpy(), k, t)).astype({"doc_id": "Int64"})
 
-    return rows.mapInPandas(run, "doc_id bigint, size bigint, text_crc32 bigint, key bigint, tie bigint, range bigint")
+    return map_batches(rows, run, "doc_id bigint, size bigint, text_crc32 bigint, key bigint, tie bigint, range bigint")
 
 
 def _draw(rows: DataFrame, per_byte: float, salt: str) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +140,6 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 3) -> DataFrame:
             yield out.assign(law="bytes", shard=s.astype(np.int32), slot=base + pdf["row"].to_numpy(), grown_shard=pd.array([None] * len(out), "Int32"))
 
     row = F.row_number().over(W.partitionBy("range").orderBy("key", "tie", "doc_id")) - 1
-    return ranged.withColumn("row", row.cast("bigint")).mapInPandas(
-        run, "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int"
+    return map_batches(
+        ranged.withColumn("row", row.cast("bigint")), run, "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int"
     )

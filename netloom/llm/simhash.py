@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import connected_components, materialise
+from netloom.llm.common import connected_components, map_batches, materialise
 
 BLOCK_BITS = 16
 #: Rows of a bucket from which it is split into tiles of equal population counts.
@@ -50,9 +50,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.array([fingerprint(shingle_hashes(t, words)) for t in pdf["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id bigint, fp bigint"
-    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id bigint, fp bigint")
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -198,11 +197,7 @@ def bucket_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         )
         dealt = salted.where("own IS NULL").select("k", F.lit(0).cast("bigint").alias("pair"), "fp", *more, "id").unionByName(many)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return (
-        dealt.repartition(n, "k", "pair")
-        .sortWithinPartitions("k", "pair")
-        .mapInPandas(_compare(radius), "a bigint, b bigint")
-    )
+    return map_batches(dealt.repartition(n, "k", "pair").sortWithinPartitions("k", "pair"), _compare(radius), "a bigint, b bigint")
 
 
 def link_fingerprints(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -276,7 +271,7 @@ def _marked(docs: DataFrame) -> DataFrame:
             a = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
             yield pd.DataFrame({"uid": pdf["uid"], "first": pdf["first"], "node": a[:, 0], "fp": a[:, 1], "more": a[:, 2]})
 
-    return docs.mapInPandas(run, "uid bigint, first bigint, node bigint, fp bigint, more bigint")
+    return map_batches(docs, run, "uid bigint, first bigint, node bigint, fp bigint, more bigint")
 
 
 def _banded(marks: DataFrame, bits: int, bands: int, seed: int = 11) -> DataFrame:
@@ -293,7 +288,7 @@ def _banded(marks: DataFrame, bits: int, bands: int, seed: int = 11) -> DataFram
                 k = (b[:, at].astype(np.int64) @ place)[:, 0] | (i << 40)
                 yield pd.DataFrame({"k": k, "fp": pdf["fp"], "more": pdf["more"], "id": pdf["id"]})
 
-    return marks.mapInPandas(run, "k bigint, fp bigint, more bigint, id bigint")
+    return map_batches(marks, run, "k bigint, fp bigint, more bigint, id bigint")
 
 
 def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -378,11 +373,8 @@ def without_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity
         .select("cluster", "pair", "id", "text")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    links = (
-        dealt.repartition(n, "cluster", "pair")
-        .sortWithinPartitions("cluster", "pair")
-        .mapInPandas(_verify(words, round(100 * similarity)), "a bigint, b bigint")
-    )
+    dealt = dealt.repartition(n, "cluster", "pair").sortWithinPartitions("cluster", "pair")
+    links = map_batches(dealt, _verify(words, round(100 * similarity)), "a bigint, b bigint")
     groups = connected_components(links)
     of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("id", "best", F.coalesce("component", "id").alias("group"))
     kept = of.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("__kept"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices
+from netloom.llm.common import map_batches, slices
 from netloom.llm.wordhash import Words, split_words
 
 BITS = 17
@@ -195,9 +195,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[at:to] = shared.value.score(texts[at:to])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": out})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id bigint, score double"
-    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id bigint, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
