@@ -39,7 +39,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its place and its ids' checksum."""
-    return packing.digests(packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096))
+    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096, checksums=True)
 
 
 STAGES = [

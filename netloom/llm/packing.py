@@ -250,11 +250,17 @@ def ranked(tokens: DataFrame, capacity: int) -> tuple[DataFrame, dict[int, int],
     return numbered, {k: v for k, v in histogram.items() if k}, before
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def ids_crc32(packed: bytes) -> int:
+    """CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
+    return zlib.crc32(np.frombuffer(packed, "<u2").astype("<u4").tobytes())
+
+
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, checksums: bool = False) -> DataFrame:
     """Pack ``docs(doc_id, text, ...)`` into sequences of at most ``capacity`` ids.
 
     Returns a row for each piece: ``doc_id, start, length, doc_tokens, sequence_id, offset`` and
-    ``ids`` (little-endian unsigned 16-bit). Every id of every row is in exactly one piece.
+    ``ids`` (little-endian unsigned 16-bit), or with ``checksums`` their ``ids_crc32``, made where
+    the pieces are, so that ids are not sent on. Every id of every row is in exactly one piece.
     Rows repeated or sharing a doc_id are each packed; a null doc_id stays null; null and empty
     texts have the end id alone; an empty table has no sequence. Other columns are ignored.
     """
@@ -287,26 +293,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                             m, length = cols["copies"][k], cols["length"][k]
                             start = whole * capacity + cols["start"][k]
                             out.append((doc, start, length, n, cols["seq"][k] + j // m, cols["offset"][k] + j % m * length, ids[2 * start : 2 * (start + length)]))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]).astype({"doc_id": "Int64"})
-
-    return map_batches(
-        rows, run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    )
-
-
-def ids_crc32(packed: bytes) -> int:
-    """CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
-    return zlib.crc32(np.frombuffer(packed, "<u2").astype("<u4").tobytes())
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """The pieces without their ids, with ``ids_crc32`` instead."""
-
-    def run(batches):
-        for pdf in batches:
-            crc = np.array([ids_crc32(x) for x in pdf["ids"]], np.int64)
-            yield pdf.drop(columns="ids").assign(ids_crc32=crc).astype({"doc_id": "Int64"})
-
-    return map_batches(
-        pieces, run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
-    )
+            pieces = pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]).astype({"doc_id": "Int64"})
+            if checksums:
+                crc = np.array([ids_crc32(x) for x in pieces["ids"]], np.int64)
+                pieces = pieces.drop(columns="ids").assign(ids_crc32=crc)
+            yield pieces
+
+    last = "ids_crc32 bigint" if checksums else "ids binary"
+    return map_batches(rows, run, f"doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, {last}")

@@ -30,8 +30,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 4096 ids by minimum bin slack."""
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096)
-    return packing.digests(pieces)
+    return packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096, checksums=True)
 
 
 def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
