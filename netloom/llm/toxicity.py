@@ -103,7 +103,7 @@ def telling(f: np.ndarray, doc: np.ndarray, total: np.ndarray, y: np.ndarray, le
     return (seen >= 3) & (m1 - m0 > least * se)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 60, rate: float = 0.08, l2: float = 2e-6) -> Model:
+def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 200, rate: float = 0.08, l2: float = 2e-6) -> Model:
     """Likelihood fit by Adam over all given documents at once; classes weigh as they are.
 
     Without documents, or with one class only, the model gives that class's share throughout.
