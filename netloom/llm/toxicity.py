@@ -68,41 +68,50 @@ class Model:
         ]
 
 
-def gathered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, document and sentence of every word, gathered a slice of texts at a time."""
-    parts = []
-    sentences = 0
-    for at, to in slices(texts):
-        w = split_words(texts[at:to], PREFIXES, digits=False)
-        parts.append((features(w).astype(np.int32), (w.doc + at).astype(np.int32), w.sentence + sentences))
-        if len(w.sentence):
-            sentences += int(w.sentence[-1]) + 1
-    f, doc, sentence = zip(*parts, strict=True)
-    return np.concatenate(f), np.concatenate(doc), np.concatenate(sentence)
-
-
-def telling(f: np.ndarray, doc: np.ndarray, total: np.ndarray, y: np.ndarray, least: float = 4.0) -> np.ndarray:
+def telling(texts: list[str | None], y: np.ndarray, least: float = 4.0) -> np.ndarray:
     """Which indices are denser in toxic documents than in others: their mean share of a
     document's words differs by over ``least`` standard errors (Welch), and at least 3 toxic
     documents have them. The rest, nearly all, would only let single documents be remembered."""
-    docs, pos = len(total), y > 0
+    pos = y > 0
     n1, n0 = max(pos.sum(), 1), max((~pos).sum(), 1)
     seen, s1, s0, q1, q0 = (np.zeros(1 << BITS) for _ in range(5))
-    for c in range(f.shape[1]):
-        pair, n = np.unique(f[:, c].astype(np.int64) * docs + doc, return_counts=True)  # sorted: by index
-        j, d = pair // docs, pair % docs
-        x = np.minimum(n / np.maximum(total[d], 40), 0.1)
-        on = pos[d]
-        seen += np.bincount(j[on], minlength=1 << BITS)
-        s1 += np.bincount(j[on], x[on], 1 << BITS)
-        q1 += np.bincount(j[on], x[on] ** 2, 1 << BITS)
-        s0 += np.bincount(j[~on], x[~on], 1 << BITS)
-        q0 += np.bincount(j[~on], x[~on] ** 2, 1 << BITS)
+    for at, to in slices(texts):
+        w = split_words(texts[at:to], PREFIXES, digits=False)
+        f, docs = features(w), to - at
+        total = np.maximum(np.bincount(w.doc, minlength=docs), 40)
+        for c in range(f.shape[1]):
+            pair, n = np.unique(f[:, c] * docs + w.doc, return_counts=True)  # sorted: by index
+            j, d = pair // docs, pair % docs
+            x = np.minimum(n / total[d], 0.1)
+            on = pos[at + d]
+            seen += np.bincount(j[on], minlength=1 << BITS)
+            s1 += np.bincount(j[on], x[on], 1 << BITS)
+            q1 += np.bincount(j[on], x[on] ** 2, 1 << BITS)
+            s0 += np.bincount(j[~on], x[~on], 1 << BITS)
+            q0 += np.bincount(j[~on], x[~on] ** 2, 1 << BITS)
     m1, m0 = s1 / n1, s0 / n0
     se = np.sqrt((q1 / n1 - m1**2) / n1 + (q0 / n0 - m0**2) / n0 + 1e-12)
     return (seen >= 3) & (m1 - m0 > least * se)
 
 
+def gathered(texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Known indices and the sentence of each; every sentence's document and number of words. A
+    slice of texts at a time, so that words are never held for all of them."""
+    parts = []
+    sentences = 0
+    for at, to in slices(texts):
+        w = split_words(texts[at:to], PREFIXES, digits=False)
+        first = np.flatnonzero(np.diff(w.sentence, prepend=-1))
+        count = np.diff(np.append(first, len(w.hash)))
+        f = features(w)
+        word, column = np.nonzero(known[f])
+        sentence = np.repeat(np.arange(sentences, sentences + len(first)), count)
+        parts.append((f[word, column], sentence[word], w.doc[first] + at, count))
+        sentences += len(first)
+    idx, sen, doc, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return idx, sen, doc, count
+
+
 def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 200, rate: float = 0.08, l2: float = 2e-6) -> Model:
     """Likelihood fit by Adam over all given documents at once; classes weigh as they are.
 
@@ -114,18 +123,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 200, rate: fl
         share = min(max(share, 0.01), 0.99)
         lam = -np.log1p(-share)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(np.expm1(lam))), 1.0)
-    f, of_doc, sentence = gathered(texts)
-    first = np.flatnonzero(np.diff(sentence, prepend=-1))
-    count = np.diff(np.append(first, len(f)))
-    doc = of_doc[first]
-    total = np.maximum(np.bincount(of_doc, minlength=len(texts)), 1)
-    known = telling(f, of_doc, total, y)
-    f[~known[f]] = 1 << BITS  # a place that stays 0
-    sent_of_word = np.repeat(np.arange(len(first)), count)
-    keep = (f < (1 << BITS)).ravel()
-    idx = f.ravel()[keep]
-    sen = np.repeat(sent_of_word, f.shape[1])[keep].astype(np.int32)
-    del f
+    idx, sen, doc, count = gathered(texts, telling(texts, y))
     words = np.maximum(np.bincount(doc, count, len(texts)), 1)
     share = count / words[doc]
     has = np.bincount(doc, minlength=len(texts)) > 0
@@ -133,7 +131,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 200, rate: fl
     bias, strength = -4.0, np.log(20.0)
     m, v = np.zeros((1 << BITS) + 2), np.zeros((1 << BITS) + 2)
     for step in range(1, epochs + 1):
-        z = bias + np.bincount(sen, theta[idx], len(first))
+        z = bias + np.bincount(sen, theta[idx], len(doc))
         soft, p = np.logaddexp(0, z), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         mean = np.where(has, np.bincount(doc, soft * share, len(texts)), np.logaddexp(0, bias))
         k = np.exp(strength)
