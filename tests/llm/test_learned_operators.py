@@ -230,6 +230,31 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_items_of_commonplace_words_are_found(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    item = " ".join(r.sample(words, 40))
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(300)]
+    for i in range(0, 300, 3):
+        texts[i] = " ".join([*r.choices(words, k=5), item, *r.choices(words, k=5)])
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    df, n = decontaminate.word_frequencies(docs)
+    assert (decontaminate.idf_of(df, -(-n // 5))[decontaminate._index(split_words([item]).hash)] == 0).all()
+    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == set(range(0, 300, 3))
+
+
+def test_passages_of_commonplace_words_are_compared(spark):
+    r = random.Random(9)
+    common, rare = [f"c{i}" for i in range(30)], [f"w{i}" for i in range(3000)]
+    item = common[:15] + rare[:5] + common[15:]
+    texts = [" ".join(r.sample(common, 30) + r.choices(rare, k=10)) for _ in range(300)]
+    texts[7] = " ".join(common[:30])  # the item without its rare words
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {7}
+
+
 def test_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(50):
