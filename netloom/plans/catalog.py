@@ -701,7 +701,7 @@ def dragon(spark, sf):
 
 @query("monster_ols")
 def monster_ols(spark, sf):
-    n = _net(spark, sf).where("tf <= 12")
+    n = _net(spark, sf)
     return _rounded(I.monster(n.select("tf", "gene", F.col("a").alias("score")), n.select("tf", "gene", F.col("b").alias("score"))), "v")
 
 
@@ -715,4 +715,4 @@ def condor_brim(spark, sf):
 
 @query("perturbed_networks")
 def perturbed_networks(spark, sf):
-    return I.perturbed(_net(spark, sf).where("tf <= 20").select("tf", "gene", F.col("a").alias("weight")), 4)
+    return I.perturbed(_net(spark, sf).select("tf", "gene", F.col("a").alias("weight")), 4)

@@ -30,6 +30,14 @@ def test_runs_and_is_finite(spark, sf, name):
             assert all(r[c] is None or r[c] == r[c] for r in rows)
 
 
+@pytest.mark.parametrize("name, column", [("monster_ols", "tf_from"), ("perturbed_networks", "tf")])
+def test_every_tf_reaches_the_operator(spark, name, column):
+    sf = "/root/testdata/sf0.01"
+    want = {r.tf for r in catalog._net(spark, sf).select("tf").distinct().collect()}
+    assert len(want) > 20
+    assert {r[0] for r in catalog.QUERIES[name](spark, sf).select(column).distinct().collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
