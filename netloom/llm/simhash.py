@@ -258,14 +258,15 @@ def _second(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``(uid, first, node, fp, more)``: ``node`` hashes the lower-cased words in order."""
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    """``(uid, first, node, fp, more)``: ``node`` hashes the lower-cased words in order; the
+    fingerprints are those of the set of shingles that is compared later."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for t in pdf["text"]:
-                h = shingle_hashes(t, 3)
+                h = np.unique(shingle_hashes(t, words))
                 node = xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7)
                 out.append((node, fingerprint(h), fingerprint(_second(h))))
             a = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
@@ -352,7 +353,7 @@ def without_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity
         uid = F.col("__uid")
     first = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
     texts = rows.select(uid.alias("uid"), first.alias("first"), F.col("text").cast("string").alias("text"))
-    marks = materialise(_marked(texts), "marks")
+    marks = materialise(_marked(texts, words), "marks")
     nodes = marks.groupBy("node").agg(
         F.min(F.struct("first", "uid")).alias("best"), F.first("fp").alias("fp"), F.first("more").alias("more")
     )

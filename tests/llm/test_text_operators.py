@@ -159,6 +159,16 @@ def test_near_duplicates_against_all_pairs(spark):
     assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")] and out.count() == 2
 
 
+def test_near_duplicates_of_a_repeated_line(spark):
+    r = random.Random(12)
+    line = " ".join(f"line{i}" for i in range(8))
+    body = [" ".join(r.choices([f"w{i}" for i in range(2000)], k=200)) for _ in range(5)]
+    docs = [f"{b} {line} {line}" for b in body] + [f"{b} {' '.join([line] * 400)}" for b in body]
+    assert all(jaccard(docs[i], docs[i + 5]) >= 0.8 for i in range(5))
+    kept = {x.doc_id for x in simhash.without_near_duplicates(frame(spark, docs)).collect()}
+    assert kept == set(range(5))
+
+
 def test_sharding(spark, texts):
     many = (texts + [texts[10]] * 300) * 2
     out = sharding.shard(frame(spark, many), shards=8).toPandas()
