@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -235,17 +233,13 @@ def simhash_components(docs: DataFrame, radius: int = 3, words: int = 3, tile: i
     )
 
 
-def bands_for(n: int, agree: float = 0.86, recall: float = 0.995) -> tuple[int, int]:
-    """Bits of a band and number of bands for ``n`` fingerprints: a bucket holds a few dozen
-    rows at any n, and a pair whose bits agree with probability ``agree`` meets in one of
-    the bands with probability ``recall``."""
-    bits = int(min(30, max(8, math.log2(max(n, 1)) - 5)))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
-
-
 #: Near duplicates: words of a shingle, least Jaccard similarity, and bits of 128 by which the
-#: fingerprints of a pair may differ to be looked at (the similarity's mean is 15 of 128).
-NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 28
+#: fingerprints of a pair that shares a rare shingle may differ to be looked at. A pair of
+#: similarity 0.8 differs in 19.4 bits on average (24 for sets of 4 and 5 shingles, the worst).
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 40
+#: Texts, in expectation, that tell which shingles are common, occurrences there from which one
+#: is, and common shingles known at most. They decide the work, not the result.
+COMMON_TEXTS, COMMON_TIMES, COMMON_SHINGLES = 20_000, 8, 1 << 16
 #: Texts of a cluster that are compared in one task; a larger cluster is dealt out in pairs of
 #: tiles of half as many.
 CLUSTER = 512
@@ -275,21 +269,51 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, run, "uid bigint, first bigint, node bigint, fp bigint, more bigint")
 
 
-def _banded(marks: DataFrame, bits: int, bands: int, seed: int = 11) -> DataFrame:
-    """A row for each band: ``k`` numbers the band and the value of its bits."""
-    rng = np.random.default_rng(seed)
-    chosen = [np.sort(rng.choice(128, bits, replace=False)) for _ in range(bands)]
+def common_shingles(texts: DataFrame, n: int, words: int) -> np.ndarray:
+    """Hashes of the shingles that many texts of a sample hold, the commonest last."""
+
+    def run(batches):
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in pdf["text"]]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)})
+
+    share = min(1.0, COMMON_TEXTS / max(n, 1))
+    few = texts.where(F.pmod(F.xxhash64("uid", F.lit("common")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    times = map_batches(few.select("text"), run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rows = times.where(F.col("n") >= COMMON_TIMES).orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toPandas()
+    return rows["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, percent: int, known: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles in the order of all: those in ``known`` (sorted) last, by
+    their ``place``. Two sets of a similarity of percent/100 or more share ``percent`` of a hundred
+    of either at least, so the prefixes that leave out one less than that have one in common."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank = np.full(n, -1)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, place[at], -1)
+    order = np.lexsort((shingles, rank))
+    return shingles[order[: n + (-percent * n) // 100 + 1]]
+
+
+def _prefixed(nodes: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
+    """``nodes(id, fp, more, text)`` -> a row ``(k, fp, more, id)`` for each shingle of its prefix."""
+    place = np.argsort(common)
+    shared = nodes.sparkSession.sparkContext.broadcast((common[place], place))
 
     def run(batches):
-        place = (np.int64(1) << np.arange(bits, dtype=np.int64))[:, None]
+        known, place = shared.value
         for pdf in batches:
-            both = np.stack([pdf["fp"].to_numpy(), pdf["more"].to_numpy()], axis=1)
-            b = np.unpackbits(np.ascontiguousarray(both).view(np.uint8).reshape(-1, 16), axis=1)
-            for i, at in enumerate(chosen):
-                k = (b[:, at].astype(np.int64) @ place)[:, 0] | (i << 40)
-                yield pd.DataFrame({"k": k, "fp": pdf["fp"], "more": pdf["more"], "id": pdf["id"]})
+            rows = [prefix(np.unique(shingle_hashes(t, words)), percent, known, place) for t in pdf["text"]]
+            many = [len(x) for x in rows]
+            k = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+            again = {c: np.repeat(pdf[c].to_numpy(), many) for c in ("fp", "more", "id")}
+            yield pd.DataFrame({"k": k.view(np.int64), **again})
 
-    return map_batches(marks, run, "k bigint, fp bigint, more bigint, id bigint")
+    return map_batches(nodes.select("id", "fp", "more", "text"), run, "k bigint, fp bigint, more bigint, id bigint")
 
 
 def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,10 +361,10 @@ def without_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity
     Texts with the same words in order (white space and the case of A-Z aside) are copies; null,
     empty and wordless texts are copies of each other. Of the rest, pairs whose sets of
     shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more are linked,
-    and groups are the components of the links. Candidates come from 128-bit SimHash
-    fingerprints: pairs that agree on one of many bands of bits and differ in few bits overall.
-    Bands follow the number of distinct texts, so buckets stay small. The candidates' clusters
-    are then compared exactly. Null ids come after all others; of rows sharing id and text one
+    and groups are the components of the links.
+    Candidates share a shingle of their prefixes, the rarest fifth or so of their shingles, as
+    every such pair does, and their 128-bit SimHash fingerprints differ by ``NEAR_RADIUS`` bits
+    at most. The candidates' clusters are then compared exactly. Null ids come after all others; of rows sharing id and text one
     stays. All columns of ``docs`` are kept.
     """
     spark = docs.sparkSession
@@ -358,8 +382,11 @@ def without_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity
         F.min(F.struct("first", "uid")).alias("best"), F.first("fp").alias("fp"), F.first("more").alias("more")
     )
     nodes = materialise(nodes.select(F.col("node").alias("id"), "best", "fp", "more"), "nodes")
-    bits, bands = bands_for(nodes.count())
-    found = connected_components(bucket_links(_banded(nodes, bits, bands), NEAR_RADIUS))
+    percent = round(100 * similarity)
+    alone = nodes.select("id", "fp", "more", F.col("best.uid").alias("uid")).join(texts.select("uid", "text"), "uid")
+    common = common_shingles(alone.select("uid", "text"), nodes.count(), words)
+    keyed = materialise(_prefixed(alone, words, percent, common), "prefixes")
+    found = connected_components(bucket_links(keyed, NEAR_RADIUS))
     found = materialise(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     sizes = found.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) * 2 / cluster).cast("bigint").alias("tiles"))
     many = found.join(sizes.where(F.col("tiles") > 2), "cluster", "left").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
@@ -375,7 +402,7 @@ def without_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = dealt.repartition(n, "cluster", "pair").sortWithinPartitions("cluster", "pair")
-    links = map_batches(dealt, _verify(words, round(100 * similarity)), "a bigint, b bigint")
+    links = map_batches(dealt, _verify(words, percent), "a bigint, b bigint")
     groups = connected_components(links)
     of = nodes.join(groups, nodes["id"] == groups["node"], "left").select("id", "best", F.coalesce("component", "id").alias("group"))
     kept = of.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("__kept"))

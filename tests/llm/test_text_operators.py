@@ -169,6 +169,29 @@ def test_near_duplicates_of_a_repeated_line(spark):
     assert kept == set(range(5))
 
 
+def test_near_duplicates_at_the_least_similarity(spark):
+    r = random.Random(13)
+    docs, word = [], lambda: f"w{r.randrange(10**6)}"
+    for _ in range(1500):  # a block added, as large as may be
+        n = r.choice([4, 8, 40, 100])
+        w = [word() for _ in range(n + 4)]
+        docs += [" ".join(w), " ".join(w + [word() for _ in range(n // 4)])]
+    assert all(jaccard(docs[i], docs[i + 1]) == 0.8 for i in range(0, len(docs), 2))
+    kept = {x.doc_id for x in simhash.without_near_duplicates(frame(spark, docs)).collect()}
+    assert len(kept) <= 1502  # 1,500 pairs: the fingerprints may lose one in a few thousand
+
+
+def test_prefixes_of_similar_sets_meet():
+    r = np.random.default_rng(14)
+    known = np.sort(r.choice(60, 30, replace=False)).astype(np.uint64)
+    place = r.permutation(30)
+    for _ in range(3000):
+        a = np.unique(r.integers(0, 60, r.integers(1, 30))).astype(np.uint64)
+        b = np.unique(np.append(a[r.random(len(a)) > 0.1], r.integers(0, 60, r.integers(0, 3)).astype(np.uint64)))
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.prefix(a, 80, known, place), simhash.prefix(b, 80, known, place)))
+
+
 def test_sharding(spark, texts):
     many = (texts + [texts[10]] * 300) * 2
     out = sharding.shard(frame(spark, many), shards=8).toPandas()
