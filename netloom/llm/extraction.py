@@ -2,7 +2,7 @@
 
 A page becomes its leaf blocks in order: runs of text inside one innermost block element, with
 character references decoded, white space collapsed, and what is never shown (scripts, styles,
-comments, the head) left out. Features of a block are the tags of its ancestors, kinds of words
+comments, titles) left out. Features of a block are the tags of its ancestors, kinds of words
 in their class, id and role names, and its text: length, share of link text, punctuation, place.
 The field has two labels, main or not, a weight for each feature and label, and a weight for
 each pair of neighbouring labels. It is trained on labelled pages by gradient ascent on the
@@ -14,7 +14,9 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,17 +29,19 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-HIDDEN = frozenset("head script style noscript template svg math iframe object textarea title canvas audio video".split())
+#: Elements whose content is never shown as text. One that is never closed hides nothing.
+HIDDEN = frozenset("noscript template svg math iframe object textarea title canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tags that an opening tag closes if they are the innermost block.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>""",
     re.S | re.I,
 )
+_MAY_HIDE = re.compile("<(?:" + "|".join(sorted(HIDDEN)) + r")\b", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 KINDS = [
     ("menu", r"nav|menu|breadcrumb|pagination|pager|toc|skip"),
@@ -54,72 +58,103 @@ _KINDS = [(k, re.compile(p, re.I)) for k, p in KINDS]
 _CLOSING = re.compile(r"[.!?…:;\"'»”)]$")
 
 
+class Path(NamedTuple):
+    """The distinct tags of a block's ancestors, with "@kind" for their names, and the innermost tag.
+    Paths that add nothing share one set, so a page's paths grow with its tags and not its depth."""
+
+    names: frozenset[str]
+    own: str
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags of the ancestors, and "@kind" for their names
+    path: Path
     linked: int  # characters inside links
 
 
+def _hidden_regions(source: str) -> dict[int, int]:
+    """Where each closed hidden element begins -> where it ends. An end tag closes the last open
+    element of its name; self-closed and unclosed elements hide nothing."""
+    if not _MAY_HIDE.search(source):
+        return {}
+    opened: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for m in _TOKEN.finditer(source):
+        tag = (m.group(3) or "").lower()
+        if tag not in HIDDEN:
+            continue
+        if m.group(2):
+            if opened.get(tag):
+                out[opened[tag].pop()] = m.end()
+        elif not (tag in ("svg", "math") and m.group(4).endswith("/")):
+            opened.setdefault(tag, []).append(m.start())
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page. Unclosed, crossed and stray tags do no harm: an end tag closes up to
-    its innermost open tag, or nothing."""
+    its innermost open tag, or nothing; text in a head whose end tag is left out is text."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open blocks, with what they add to the path
+    stack: list[tuple[str, Path]] = []  # open blocks, with their paths
+    opened: Counter[str] = Counter()
+    top = Path(frozenset(), "")
     parts: list[tuple[str, bool]] = []
-    links = hidden = 0
+    links = 0
     source = page or ""
+    hidden = _hidden_regions(source)
 
     def flush() -> None:
         if not parts:
             return
         text = " ".join(html_lib.unescape("".join(x for x, _ in parts)).split())
         if text:
-            path = tuple(x for _, p in stack for x in p)
             linked = sum(len(x) for x, a in parts if a)
-            out.append(Block(text, path, min(linked, len(text))))
+            out.append(Block(text, stack[-1][1] if stack else top, min(linked, len(text))))
         parts.clear()
 
     at = 0
     for m in _TOKEN.finditer(source):
-        if m.start() > at and not hidden:
+        if m.start() < at:  # inside a hidden element
+            continue
+        if m.start() > at:
             parts.append((source[at : m.start()], links > 0))
-        at = m.end()
+        at = hidden.get(m.start(), m.end())
         tag = m.group(3)
         if tag is None:
             continue
         tag = tag.lower()
         if m.group(2):
-            if tag in HIDDEN:
-                hidden = max(0, hidden - 1)
-            elif tag == "a":
+            if tag == "a":
                 links = max(0, links - 1)
-            elif tag in BLOCK_TAGS and any(t == tag for t, _ in stack):
+            elif tag == "head":
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+            elif tag in BLOCK_TAGS and opened[tag]:
+                flush()
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
+                        break
                 links = 0
             continue
-        if tag in HIDDEN:
+        if tag in HIDDEN or tag in ("hr", "head", "body"):
             flush()
-            hidden += 1
         elif tag == "br":
             parts.append((" ", links > 0))
         elif tag == "a":
             links += 1
-        elif tag == "body":
-            flush()
-            hidden = 0
         elif tag in BLOCK_TAGS:
             flush()
             links = 0
             while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ())):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             names = " ".join(x for g in _NAMES.findall(m.group(4) or "") for x in g if x)
-            stack.append((tag, (tag, *(f"@{k}" for k, p in _KINDS if names and p.search(names)))))
-        elif tag == "hr":
-            flush()
-    if at < len(source) and not hidden:
+            above = stack[-1][1].names if stack else top.names
+            more = {tag, *(f"@{k}" for k, p in _KINDS if names and p.search(names))} - above
+            stack.append((tag, Path(above | more if more else above, tag)))
+            opened[tag] += 1
+    if at < len(source):
         parts.append((source[at:], links > 0))
     flush()
     return out
@@ -139,8 +174,8 @@ def text_features(b: Block, i: int, n: int) -> list[str]:
     return out
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    return [*{f"in:{x}" for x in path}, *(["own:" + next(x for x in reversed(path) if x[0] != "@")] if path else ["own:"])]
+def path_features(path: Path) -> list[str]:
+    return [*(f"in:{x}" for x in sorted(path.names)), f"own:{path.own}"]
 
 
 @dataclass
@@ -150,7 +185,7 @@ class Model:
     change: np.ndarray  # (2, 2): from, to
 
     def __post_init__(self) -> None:
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.paths: dict[Path, tuple[float, float]] = {}
         self.rows = {k: tuple(self.weights[i].tolist()) for k, i in self.index.items()}
 
     def emission(self, b: Block, i: int, n: int) -> tuple[float, float]:
