@@ -3,9 +3,10 @@
 Base patterns (assign, access, hex) are matched leftmost and non-overlapping per kind; their
 places follow from splitting the text at the matches. The method adds spans of kind
 ``entropy``: candidate strings, runs of at least ``WINDOW`` characters of the base64 and URL
-alphabets, get the Shannon entropy of every window of ``WINDOW`` characters. One pass over a
-candidate keeps ``sum c log2 c`` over the counts c of the window's characters and changes it
-only by the character that comes in and the one that goes out. Windows over the threshold of
+alphabets, get the Shannon entropy of every window of ``WINDOW`` characters. A pass over a
+candidate keeps the counts c of the window's characters, a map of at most ``WINDOW`` of them, and
+``sum c log2 c``; both change only by the character that comes in and the one that goes out. A
+long candidate is passed over in runs of ``RUN`` windows, so that work grows with its length. Windows over the threshold of
 their class (hex digits, letters with digits in one case, or both cases) are merged and widened
 by a window within the candidate. Candidates of the allow list are suppressed: UUIDs, placeholder
 strings, runs with letters or digits only, paths and links of words, and what a base span covers.
@@ -23,6 +24,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 WINDOW = 20
+#: Windows of a candidate that one pass takes.
+RUN = 2048
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits over a window of 20 (at most 4.32): hex digits, one case with digits, mixed.
 THRESHOLDS = {"hex": 3.05, "lower": 3.45, "mixed": 3.65}
@@ -66,31 +69,58 @@ def _c_log_c(count: str) -> str:
     return f"if({count} > 1, {count} * log2({count}), 0D)"
 
 
-def entropy_windows(candidate: str, threshold: str, window: int = WINDOW) -> str:
-    """SQL: merged (s, e) of the candidate's windows whose entropy is at least the threshold.
+_NONE = "cast(array() as array<struct<s: bigint, e: bigint>>)"
 
-    The state holds S = sum c log2 c of the window's counts, and spans found; the entropy is
-    log2(window) - S / window. A character's count in the window is what removing it shortens
-    the window by.
+
+def entropy_windows(candidate: str, threshold: str, window: int = WINDOW, run: int = RUN) -> str:
+    """SQL: (s, e) of the candidate's stretches of windows, run by run, whose entropy is at least the
+    threshold, in order; stretches of neighbouring runs may touch.
+
+    The state holds the window's counts, S = sum c log2 c of them, the stretches that are over and
+    the one that goes on; the entropy is log2(window) - S / window.
     """
-    w, k = window, candidate
-    count = lambda ch, part: f"(length({part}) - length(replace({part}, {ch}, '')))"
-    rest = f"substring({k}, i + 1, {w} - 1)"  # what the window keeps as it moves on by one
-    come, go = f"substring({k}, i + {w}, 1)", f"substring({k}, i, 1)"
-    s_first = f"aggregate(array_distinct(split(substring({k}, 1, {w}), '')), 0D, (a, ch) -> a + {_c_log_c(count('ch', f'substring({k}, 1, {w})'))})"
-    c_in, c_out = count(come, rest), count(go, rest)
-    s_next = f"acc.s + ({_c_log_c(f'({c_in} + 1)')} - {_c_log_c(c_in)}) - ({_c_log_c(f'({c_out} + 1)')} - {_c_log_c(c_out)})"
-    none = "cast(array() as array<struct<s: bigint, e: bigint>>)"
-    hit = lambda s: f"round(log2({w}) - ({s}) / {w}, 9) >= {threshold}"
-    grow = f"""if(size(acc.out) > 0 and element_at(acc.out, -1).e >= i,
-                 concat(slice(acc.out, 1, size(acc.out) - 1), array(struct(element_at(acc.out, -1).s as s, cast(i + {w} as bigint) as e))),
-                 concat(acc.out, array(struct(cast(i as bigint) as s, cast(i + {w} as bigint) as e))))"""
+    w = window
+    hit = lambda s: f"round(log2({w}) - ({s}) / {w}, 9) >= th"
+    first = f"slice(ch, at + 1, {w})"  # the run's first window
+    begin = f"aggregate({first}, cast(map() as map<string, int>), (c, x) -> map_concat(map_filter(c, (k, v) -> k <> x), map(x, coalesce(try_element_at(c, x), 0) + 1)))"
+    # one character more, one less, in the counts and in S; a count of 0 goes
+    come, go = f"ch[i + {w} - 1]", "ch[i - 1]"
+    less = f"coalesce(try_element_at(acc.c, {come}), 0)"
+    counts = f"""if({come} = {go}, acc.c,
+                   map_concat(
+                     map_filter(transform_values(acc.c, (k, v) -> if(k = {go}, v - 1, v)), (k, v) -> v > 0 and k <> {come}),
+                     map({come}, {less} + 1)))"""
+    out = f"acc.c[{go}]"
+    s_next = f"""if({come} = {go}, acc.s,
+                   acc.s + ({_c_log_c(f'({less} + 1)')} - {_c_log_c(less)}) - ({_c_log_c(out)} - {_c_log_c(f'({out} - 1)')}))"""
+    span = f"struct(cast(i as bigint) as s, cast(i + {w} as bigint) as e)"
+    start = f"""transform(array({begin}), c -> aggregate(map_values(c), 0D, (a, n) -> a + {_c_log_c('n')}))[0]"""
+    step = f"""
+        aggregate(
+          if(hi > at, sequence(at + 1, hi), cast(array() as array<int>)),
+          named_struct('c', {begin}, 's', s0, 'out', {_NONE},
+                       'cur', if({hit('s0')}, named_struct('s', cast(at as bigint), 'e', cast(at + {w} as bigint)), cast(null as struct<s: bigint, e: bigint>))),
+          (acc, i) -> transform(array({s_next}), s1 -> named_struct(
+            'c', {counts}, 's', s1,
+            'out', if({hit('s1')} and acc.cur is not null and acc.cur.e < i, concat(acc.out, array(acc.cur)), acc.out),
+            'cur', if({hit('s1')}, if(acc.cur is not null and acc.cur.e >= i, named_struct('s', acc.cur.s, 'e', cast(i + {w} as bigint)), {span}), acc.cur)))[0],
+          acc -> if(acc.cur is null, acc.out, concat(acc.out, array(acc.cur))))"""
+    # names are bound by transforms over arrays of one: they are computed once
     return f"""
-      aggregate(
-        if(length({k}) > {w}, sequence(1, length({k}) - {w}), cast(array() as array<int>)),
-        struct({s_first} as s, if({hit(s_first)}, array(struct(0L as s, cast({w} as bigint) as e)), {none}) as out),
-        (acc, i) -> struct({s_next} as s, if({hit(s_next)}, {grow}, acc.out) as out),
-        acc -> acc.out)
+      flatten(transform(array(split({candidate}, '')), ch -> flatten(transform(array({threshold}), th ->
+        flatten(transform(sequence(0, length({candidate}) - {w}, {run}), at ->
+          flatten(transform(array(cast(least(length({candidate}) - {w}, at + {run} - 1) as int)), hi ->
+            flatten(transform(array({start}), s0 -> {step}))))))))))
+    """
+
+
+def joined(spans: str) -> str:
+    """SQL: spans in order, of rising ends, with those that touch or overlap made one."""
+    return f"""
+      flatten(transform(array({spans}), sp -> zip_with(
+        filter(sp, (x, i) -> i = 0 or sp[i - 1].e < x.s),
+        filter(sp, (x, i) -> i = size(sp) - 1 or sp[i + 1].s > x.e),
+        (x, y) -> struct(x.s as s, y.e as e))))
     """
 
 
@@ -113,24 +143,18 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         df = df.withColumn(kind, F.expr(f"transform({kind}, x -> {span})"))
     allowed = " or ".join(f"rlike(x.m, {_lit(p)})" for p in ALLOW)
     df = df.withColumn("entropy", _matches(CANDIDATE))
-    df = df.withColumn("base", F.concat("assign", "access", "hex"))
+    df = df.withColumn("__base", F.concat("assign", "access", "hex"))
     df = df.withColumn(
         "entropy",
-        F.expr(f"filter(entropy, x -> rlike(x.m, {_lit(REQUIRE)}) and not ({allowed}) and not exists(base, b -> b.s < x.e and b.e > x.s))"),
+        F.expr(f"filter(entropy, x -> rlike(x.m, {_lit(REQUIRE)}) and not ({allowed}) and not exists(__base, b -> b.s < x.e and b.e > x.s))"),
     )
     cls = (
         f"if(rlike(x.m, '^[0-9a-fA-F]+$'), {THRESHOLDS['hex']}D, "
         f"if(rlike(x.m, '[a-z]') and rlike(x.m, '[A-Z]'), {THRESHOLDS['mixed']}D, {THRESHOLDS['lower']}D))"
     )
     widened = f"""struct(x.s + greatest(0L, h.s - {WINDOW}) as s, x.s + least(cast(length(x.m) as bigint), h.e + {WINDOW}) as e)"""
-    merged = f"""
-      aggregate(
-        transform({entropy_windows('x.m', cls)}, h -> {widened}),
-        cast(array() as array<struct<s: bigint, e: bigint>>),
-        (a, h) -> if(size(a) > 0 and element_at(a, -1).e >= h.s,
-          concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, h.e as e))), concat(a, array(h))))
-    """
-    return df.withColumn("entropy", F.expr(f"if(size(entropy) = 0, cast(array() as array<struct<s: bigint, e: bigint>>), flatten(transform(entropy, x -> {merged})))")).drop("base")
+    merged = joined(f"transform({joined(entropy_windows('x.m', cls))}, h -> {widened})")
+    return df.withColumn("entropy", F.expr(f"if(size(entropy) = 0, {_NONE}, flatten(transform(entropy, x -> {merged})))")).drop("__base")
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -153,7 +177,9 @@ def digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret's characters replaced by ``mask`` in ``text``, overlapping spans
     by one; texts without a secret, null ones too, stay as they are. Other columns are kept."""
-    found = find_secrets(docs.withColumn("__raw", F.col("text")))
+    # the row itself is set aside: its columns may have the names that the spans get
+    aside = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text"))
+    found = find_secrets(aside)
     spans = F.expr(f"array_sort(concat({', '.join(KINDS)}))")
     merged = F.expr(
         """aggregate(__spans, cast(array() as array<struct<s: bigint, e: bigint>>),
@@ -167,8 +193,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
               a -> concat(a.out, substring(text, int(a.at + 1), length(text))))"""
     )
     out = found.withColumn("__spans", spans).withColumn("__spans", merged)
-    out = out.withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(F.col("__raw")))
-    return out.select(*docs.columns)
+    text = F.when(F.size("__spans") > 0, clean).otherwise(F.col("__row.text"))
+    return out.select(*(text.alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 _ALLOW_SQL = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOW)
