@@ -9,12 +9,14 @@ a word is scored once per worker for all languages together.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ from netloom.llm.common import map_batches, slices
 
 #: Documents per language that a fit takes at most, in expectation, and their characters.
 FIT_ROWS = 500
-FIT_CHARS = 1_500_000
-#: Distinct words per language that enter the expectation-maximisation.
-FIT_WORDS = 12_000
+FIT_CHARS = 400_000
 ROUNDS = 3
 _LETTERS = re.compile(r"[^\W\d_]+")
+_STRICT = regex.compile(r"\p{L}+")
 _SPACE = "▁"
 _FLOOR = 1e-7
+#: Letters up to which words are scored together as arrays; longer ones are scored one by one.
 _LONG = 38
 #: Word scores that a worker keeps; beyond that it starts anew.
 WORDS = 300_000
@@ -44,7 +46,13 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters (Unicode category L) of the lower-cased text."""
+    text = (text or "").lower()
+    words = _LETTERS.findall(text)
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # number signs such as superscripts count as word characters but not as letters
+    return [x for w in words for x in ([w] if w.isalpha() else _STRICT.findall(w))]
 
 
 def _lattice(word: str, index: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
@@ -92,12 +100,15 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(words, languages) log P(word | language): the forward algorithm over all words
-        and languages together. A word of over ``_LONG`` letters is scored in runs of so many."""
-        if any(len(w) > _LONG for w in words):
-            runs = [w[i : i + _LONG] for w in words for i in range(0, len(w), _LONG)]
-            of = np.repeat(np.arange(len(words)), [-(-len(w) // _LONG) for w in words])
+        and languages together; over ``_LONG`` letters a word at a time."""
+        short = [i for i, w in enumerate(words) if len(w) <= _LONG]
+        if len(short) < len(words):
             out = np.zeros((len(words), len(self.languages)))
-            np.add.at(out, of, self.word_scores(runs))
+            if short:
+                out[short] = self.word_scores([words[i] for i in short])
+            for i, w in enumerate(words):
+                if len(w) > _LONG:
+                    out[i] = self.long_score(w)
             return out
         get, reach, missing = self.index.get, self.reach.get, len(self.column) - 1
         arcs = []
@@ -125,6 +136,33 @@ class Model:
         ends = np.array([len(x) + 1 for x in words])
         return np.log(np.maximum(alpha[ends, np.arange(len(words))], 1e-300))
 
+    def long_score(self, word: str) -> list[float]:
+        """log P(word | language) of a word of any length: a window of forward sums, as wide as the
+        longest piece, that is scaled up whenever it gets small."""
+        get, reach, missing = self.index.get, self.reach.get, len(self.column) - 1
+        column = self.column.tolist()
+        s = _SPACE + word
+        n, wide = len(s), max(self.reach.values(), default=1) + 1
+        none = [0.0] * len(self.languages)
+        ahead = [none] * wide  # sums at place i + d are in (i + d) % wide
+        ahead[0] = [1.0] * len(self.languages)
+        scale = list(none)
+        for i in range(n):
+            now, ahead[i % wide] = ahead[i % wide], none
+            for c, x in enumerate(now):
+                if x < 1e-150:
+                    up = 1e150 if x > 1e-300 else 1e300
+                    scale[c] -= math.log(up)
+                    now = [y * up if d == c else y for d, y in enumerate(now)]
+                    for j in range(wide):
+                        if ahead[j] is not none:
+                            ahead[j] = [y * up if d == c else y for d, y in enumerate(ahead[j])]
+            for j in range(i + 1, min(n, i + max(reach(s[i : i + 2], 1), 1)) + 1):
+                k = get(s[i:j], missing if j == i + 1 else None)
+                if k is not None:
+                    ahead[j % wide] = [a + x * p for a, x, p in zip(ahead[j % wide], now, column[k], strict=True)]
+        return [math.log(max(x, 1e-300)) + y for x, y in zip(ahead[n % wide], scale, strict=True)]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Most probable language and its posterior for each text, languages being equally
         likely beforehand; ``und`` and 0 without a letter."""
@@ -155,7 +193,31 @@ class Model:
         return out
 
 
-def fit(samples: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS, most: int = FIT_WORDS) -> Model:
+def _expected(lat: list[tuple[int, int, int]], size: int, q: list[float]) -> list[float] | None:
+    """How often each arc of a word's lattice is used, in expectation over its segmentations."""
+    fwd, bwd = [0.0] * (size + 1), [0.0] * (size + 1)
+    fwd[0] = bwd[size] = 1.0
+    for i, j, k in lat:
+        fwd[j] += fwd[i] * q[k]
+    if fwd[size] > 1e-280:
+        for i, j, k in reversed(lat):
+            bwd[i] += bwd[j] * q[k]
+        return [fwd[i] * q[k] * bwd[j] / fwd[size] for i, j, k in lat]
+    # a long word: the same in logarithms
+    add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+    lq = [math.log(x) if x > 0 else -math.inf for x in q]
+    fwd, bwd = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
+    fwd[0] = bwd[size] = 0.0
+    for i, j, k in lat:
+        fwd[j] = add(fwd[j], fwd[i] + lq[k])
+    if fwd[size] == -math.inf:
+        return None
+    for i, j, k in reversed(lat):
+        bwd[i] = add(bwd[i], bwd[j] + lq[k])
+    return [math.exp(fwd[i] + lq[k] + bwd[j] - fwd[size]) for i, j, k in lat]
+
+
+def fit(samples: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation for each language from its word counts; pieces begin in
     proportion to how often the words hold them. Languages are equally likely beforehand."""
     index = {p: i for i, p in enumerate(pieces)}
@@ -163,8 +225,7 @@ def fit(samples: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS, mo
     languages = sorted(samples)
     prob = np.full((len(languages), len(pieces)), _FLOOR)
     for row, lang in enumerate(languages):
-        top = sorted(samples[lang].items(), key=lambda x: (-x[1], x[0]))[:most]
-        arcs = [(_lattice(w[:200], index, longest), n, len(w[:200]) + 1) for w, n in top]
+        arcs = [(_lattice(w, index, longest), n, len(w) + 1) for w, n in sorted(samples[lang].items())]
         p = np.full(len(pieces) + 1, 0.01)
         for lat, n, _ in arcs:
             for _, _, k in lat:
@@ -175,17 +236,8 @@ def fit(samples: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS, mo
             q[-1] = _FLOOR
             count = [0.001] * (len(pieces) + 1)
             for lat, n, size in arcs:
-                fwd, bwd = [0.0] * (size + 1), [0.0] * (size + 1)
-                fwd[0] = bwd[size] = 1.0
-                for i, j, k in lat:
-                    fwd[j] += fwd[i] * q[k]
-                if fwd[size] <= 0:
-                    continue
-                for i, j, k in reversed(lat):
-                    bwd[i] += bwd[j] * q[k]
-                scale = n / fwd[size]
-                for i, j, k in lat:
-                    count[k] += fwd[i] * q[k] * bwd[j] * scale
+                for (_, _, k), x in zip(lat, _expected(lat, size, q) or (), strict=False):
+                    count[k] += n * x
             p = np.array(count)
             p[-1] = 0
         prob[row] = np.maximum(p[:-1] / max(p.sum(), 1e-9), _FLOOR)
