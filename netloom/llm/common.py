@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps, so rounds grow with the logarithm
     of the longest path. Every step is a shuffled aggregate and a shuffled join, and the
     edges of each round are checkpointed on the shared folder. Self-loops, null ends and
-    repeated edges are allowed and add nothing.
+    repeated edges are allowed and add nothing. Raises if ``max_rounds`` don't suffice.
     Returns ``(node, component)``; nodes without an edge to another node are absent.
     """
     shared_dir(edges.sparkSession)
@@ -113,6 +113,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -195,18 +195,19 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, first: int
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, ids binary, n)``: little-endian unsigned 16-bit
-    ids of the whole text and ``end_id``; a null text has that one id alone."""
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, ids binary, n, row)``: little-endian unsigned 16-bit
+    ids of the whole text and ``end_id`` (a null text has that one id alone), and a number that
+    tells rows apart."""
 
     def run(batches):
         encoder = IdEncoder.shared(tokenizer_path)
         end = int(end_id).to_bytes(2, "little")
         for pdf in batches:
             ids = [encoder.packed(t or "") + end for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "n": [len(x) // 2 for x in ids]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "n": [len(x) // 2 for x in ids], "row": pdf["row"]})
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id bigint, ids binary, n bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id bigint, ids binary, n bigint, row bigint")
 
 
 def ranked(tokens: DataFrame, capacity: int) -> tuple[DataFrame, dict[int, int], int]:
@@ -217,7 +218,7 @@ def ranked(tokens: DataFrame, capacity: int) -> tuple[DataFrame, dict[int, int],
     n = tokens.count()
     salts = max(16, n // RANKED)
     rows = tokens.withColumn("rest", F.col("n") % capacity).withColumn("whole", F.expr(f"n div {capacity}")).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(salts))
+        "salt", F.pmod(F.xxhash64("row"), F.lit(salts))
     )
     sizes = materialise(
         rows.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("whole").alias("windows")), "sizes"
@@ -237,7 +238,7 @@ def ranked(tokens: DataFrame, capacity: int) -> tuple[DataFrame, dict[int, int],
         .join(F.broadcast(bases), "rest")
         .select("rest", "salt", "rank0", (F.col("win0") + F.col("base")).alias("win0"))
     )
-    within = W.partitionBy("rest", "salt").orderBy("doc_id", "n", F.crc32("ids"))
+    within = W.partitionBy("rest", "salt").orderBy("row")
     numbered = (
         rows.join(offsets, ["rest", "salt"])
         .withColumn("rank", F.col("rank0") + F.row_number().over(within) - 1)

@@ -9,8 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.llm import decontaminate, extraction, language, media, packing, secrets, sharding, simhash, toxicity, urls
 from netloom.llm.common import read_table
 
-#: Where the public vocabulary files are.
-TOKENIZERS = os.environ.get("NETLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary_file(name: str) -> str:
+    """Where a public vocabulary file is: in the folder that ``NETLOOM_TOKENIZERS`` names, else in
+    the installed package of them. Every executor needs it in the same place."""
+    known = os.environ.get("NETLOOM_TOKENIZERS")
+    if known:
+        return f"{known}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +40,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 4096 ids by minimum bin slack."""
-    return packing.pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096, checksums=True)
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), end_id=2, capacity=4096, checksums=True)
 
 
 def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by unigrams summed over all segmentations."""
-    return language.judge(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return language.judge(read_table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
 QUERIES = {

@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by sampled splitters.
 
-Rows are ordered by the hash of their text and then of their id, so that equal texts lie next
-to each other. A sample drawn in proportion to size gives quantile boundaries of many fine
+Rows are ordered by the hash of their text and then of their id and place in the table, so that
+equal texts lie next to each other and the copies of one can be cut apart. A sample drawn in proportion to size gives quantile boundaries of many fine
 ranges; exact sizes of these are counted, and ranges that turn out overfull are subdivided by
 a sample of their own. A boundary falls between two texts, unless one text's copies alone
 outweigh a range. The fine ranges then go to shards, the largest first, each to the emptiest.
@@ -31,14 +31,15 @@ FIRST = np.iinfo(np.int64).min
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, size, text_crc32, key, tie)`` of each row; a null text has no bytes."""
+    """``(doc_id, size, text_crc32, key, tie)`` of each row; a null text has no bytes. The tie tells
+    rows apart that share text and id, so that their range can be cut."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
-        F.xxhash64("doc_id", F.lit("tie")).alias("tie"),
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("tie"),
     )
 
 

@@ -218,18 +218,20 @@ def simhash_components(docs: DataFrame, radius: int = 3, words: int = 3, tile: i
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text, ...)``.
 
     Null, empty and wordless texts have fingerprint 0. Equal fingerprints are folded before
-    any comparison. Rows repeated or sharing a doc_id are each returned; a null doc_id is
-    returned as null and takes part as no component's smallest id. Other columns are ignored.
+    any comparison. Rows repeated or sharing a doc_id are each returned; a row with a null doc_id
+    links like any other but its id is no component's smallest: a component of such rows alone
+    has a null component_id. An empty table gives no rows. Other columns are ignored.
     """
     fps = materialise(fingerprints(docs, words), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    top = fps.agg(F.max("doc_id")).first()[0] or 0
+    # a fingerprint that only rows without an id have gets a number above all ids
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = materialise(distinct.select("fp", F.coalesce("least", F.lit(max(top, 0) + 1) + F.monotonically_increasing_id()).alias("id")), "distinct")
     comp = connected_components(link_fingerprints(distinct, radius, tile))
-    whole = (
-        distinct.join(comp, distinct.id == comp.node, "left")
-        .select("fp", F.coalesce("component", "id").alias("component_id"))
-    )
+    whole = distinct.join(comp, distinct.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("least"))
+    component = F.when(F.col("least") <= max(top, 0), F.col("least"))
     return fps.join(whole, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id")
     )
 
 

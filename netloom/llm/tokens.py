@@ -5,7 +5,8 @@ pieces that its pattern matches, none of which holds white space, and merges the
 of each piece, the last of which carries an end mark. So the ids of a text are those of its
 white-space separated words in a row, and a word's ids are computed once per worker. New
 words go to a byte-level merge table of the same vocabulary in which the end mark is a
-control character; words for which the two could differ go to the tokenizer itself.
+control character; texts and words for which the two could differ go to the tokenizer itself, so
+do texts that hold the name of a special token, which the tokenizer gives that token's id.
 """
 
 from __future__ import annotations
@@ -53,12 +54,15 @@ class IdEncoder:
         self.path = path
         self._exact = None
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        vocab = whole["model"]["vocab"]
+        names = {t["content"] for t in whole.get("added_tokens", [])}
+        self.special = sorted(names)
         letters = _byte_letters()
         ranks = {bytes([b]): b for b in range(256)}
         ids = np.zeros(len(vocab) + 257, np.uint16)
         for token, i in sorted(vocab.items(), key=lambda x: x[1]):
-            if token.startswith("<|"):
+            if token in names:
                 continue
             word, mark = (token[:-4], b"\x01") if token.endswith("</w>") else (token, b"")
             key = bytes(letters[c] for c in word) + mark
@@ -77,7 +81,6 @@ class IdEncoder:
             from tokenizers import Tokenizer
 
             self._exact = Tokenizer.from_file(self.path)
-            self._exact.encode_special_tokens = True
         return self._exact
 
     def _exactly(self, text: str) -> bytes:
@@ -105,7 +108,7 @@ class IdEncoder:
                 at += n
 
     def packed(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _ODD.search(text) or any(x in text for x in self.special):
             return self._exactly(text)
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from netloom.llm import decontaminate, extraction, language, toxicity, urls
 from netloom.llm.common import read_table
-from netloom.llm.queries import QUERIES, TOKENIZERS
+from netloom.llm.queries import QUERIES, vocabulary_file
 from netloom.llm.wordhash import split_words
 
 BIG = "/root/testdata/sf0.01"
 DOCS = "doc_id bigint, text string, lang string, source string, score double, held_out string"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+PIECES = vocabulary_file("piece_bpe_32k.model")
 
 
 def frame(spark, rows):
@@ -107,8 +107,17 @@ def test_forward_algorithm_sums_all_segmentations():
                     memo[key] = out
                 return memo[key]
 
-            if len(word) <= language._LONG:
-                assert np.isclose(model.word_scores([word])[0, row], np.log(total(0)), rtol=1e-3)
+            assert np.isclose(model.word_scores([word])[0, row], np.log(total(0)), rtol=1e-9)
+            assert np.isclose(model.long_score(word)[row], np.log(total(0)), rtol=1e-9)
+    assert len("abz" + "ab" * 30) > language._LONG
+    long = "ab" * 3000  # far below the smallest double: scaled on the way
+    assert np.allclose(np.diff([model.long_score(long[:n]) for n in (2000, 4000, 6000)], axis=0)[0], np.diff([model.long_score(long[:n]) for n in (2000, 4000, 6000)], axis=0)[1])
+    lat = language._lattice("ab" * 40, {p: i for i, p in enumerate(pieces)}, 3)
+    plain = language._expected(lat, 81, [0.1] * 9)
+    small = language._expected(lat, 81, [1e-30] * 9)
+    assert all(np.isfinite(small)) and np.isclose(sum(x * (j - i) for (i, j, _), x in zip(lat, plain, strict=True)), 81)
+    assert np.isclose(sum(x * (j - i) for (i, j, _), x in zip(lat, small, strict=True)), 81)
+    assert language.words_of("x² Ⅷ ²") == ["x"] and model.predict(["² Ⅷ"]) == [("und", 0.0)]
     assert model.predict([None, "", "12 .", "ab"])[:3] == [("und", 0.0)] * 3
 
 
@@ -156,6 +165,31 @@ def test_extraction_of_a_page_and_of_odd_ones(spark, field):
     assert len(out) == 5 and out["text"][1] == "" and out["text"][2] == "" and out["text"].notna().all()
 
 
+def test_extraction_loses_no_text(field):
+    one, two = "First paragraph of the article, which goes on for a while.", "Second paragraph, after what was odd in the page."
+    pages = [
+        f"<html><head><title>x</title><article><p>{one}</p><p>{two}</p></article>",  # head and body left open
+        f"<head><meta charset=x><title>t</title></head><article><p>{one}</p><p>{two}</p></article>",
+        f"<body><article><p>{one}</p><svg viewBox='0 0 1 1'/><p>{two}</p></article>",
+        f"<body><article><p>{one}</p><math/><p>{two}</p></article>",
+        f"<body><article><p>{one}</p><canvas><p>{two}</p></article>",
+        f"<body><article><p>{one}</p><object data=x><video><p>{two}</p></article>",
+        f"<body><article><p>{one}</p><!--><p>{two}</p><!-- x --></article>",
+        f"<body><article><p>{one}</p><svg><text>no</text><svg><text>no</text></svg>no</svg><p>{two}</p></article>",
+        f"<body><article><p>{one}</p><object><object>no</object>no</object><p>{two}</p></article>",
+    ]
+    for page in pages:
+        assert [b.text for b in extraction.blocks(page)] == [one, two], page
+        assert field.main_text(page) == f"{one}\n{two}", page
+    assert [b.text for b in extraction.blocks("<p>a<script>if (x < 1) { y }</script>b<style>p {}</style></p><noscript>n</noscript>")] == ["ab"]
+
+
+def test_extraction_of_deep_pages_in_bounded_memory(field):
+    deep = extraction.blocks("<div class=content>x" * 50_000 + "</span>" * 50_000)
+    assert len(deep) == 50_000 and len({id(b.path.names) for b in deep}) <= 3
+    assert extraction.blocks("<svg>" * 30_000 + "<p>y")[0].text == "y"
+
+
 def url_frame(spark, values):
     return spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(values)], "page_id bigint, url string, host string, rule string")
 

@@ -1,7 +1,9 @@
 """Packing, SimHash, sharding, media and secrets against brute force and exact round trips."""
 
 import hashlib
+import math
 import random
+import re
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -16,9 +18,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from compare import database, rows_of, sql_rows
 
 from netloom.llm import media, packing, secrets, sharding, simhash
-from netloom.llm.queries import ORACLE_SQL, QUERIES, TOKENIZERS
+from netloom.llm.queries import ORACLE_SQL, QUERIES, vocabulary_file
 
-WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
+WORDS = vocabulary_file("word_bpe_49k.json")
 SCHEMA = "doc_id bigint, text string, lang string, k bigint, fp string, id string, size string, assign string"
 
 
@@ -45,7 +47,6 @@ def test_packing_is_an_exact_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     out = packing.pack(frame(spark, texts), WORDS, capacity=256).toPandas()
     for doc, g in out.sort_values("start").groupby("doc_id"):
         ids = np.frombuffer(b"".join(g["ids"]), "<u2").tolist()
@@ -72,6 +73,28 @@ def test_packing_of_repeated_and_null_ids(spark):
     assert Counter(out["doc_id"].dropna()) == {7: 2} and len(out) == 4
 
 
+def test_special_token_names_get_what_the_tokenizer_gives(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    docs = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|>", "<| endoftext |>"]
+    for r in packing.tokenise(frame(spark, docs), WORDS).collect():
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert ids == tok.encode(docs[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (49407 in ids) == (r.doc_id < 2)
+
+
+def test_repeated_rows_without_an_id_are_dealt_to_many_tasks(spark):
+    many = frame(spark, [None] * 3000, [None] * 3000)
+    rows, histogram, _ = packing.ranked(packing.tokenise(many, WORDS), 64)
+    assert histogram == {1: 3000} and sorted(r["rank"] for r in rows.collect()) == list(range(3000))
+    out = packing.pack(many, WORDS, capacity=64).toPandas()
+    assert len(out) == 3000 and out.groupby(["sequence_id", "offset"]).size().max() == 1
+    out = sharding.shard(many, shards=8).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() - sums.min() <= 0.1 * sums.mean()
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_best_fill_against_all_multisets(seed):
     r = random.Random(seed)
@@ -124,6 +147,26 @@ def test_simhash_of_empty_tables_and_null_ids(spark):
     assert len(out) == 3 and set(out["component_id"]) == {5, 9}
 
 
+def test_simhash_links_through_rows_without_an_id(spark):
+    # three fingerprints, each within 3 bits of the next; found by dropping words
+    r = random.Random(17)
+    chain = None
+    while chain is None:
+        w = [f"w{r.randrange(10**6)}" for _ in range(220)]
+        k = r.randrange(1, 4)
+        x = [" ".join(w), " ".join(w[k:]), " ".join(w[2 * k :])]
+        f = [brute_fingerprint(t) for t in x]
+        d = [(f[i] ^ f[j]).bit_count() for i, j in ((0, 1), (1, 2), (0, 2))]
+        if d[0] <= 3 and d[1] <= 3 and d[2] > 3:
+            chain = x
+    got = simhash.simhash_components(frame(spark, chain, [1, None, 3])).toPandas()
+    assert got["component_id"].tolist() == [1, 1, 1]
+    got = simhash.simhash_components(frame(spark, [*chain, "a b c d e f g"], [None, None, None, 7])).toPandas()
+    assert got[got["doc_id"].isna()]["component_id"].isna().all() and got[got["doc_id"] == 7]["component_id"].tolist() == [7]
+    got = simhash.simhash_components(frame(spark, [*chain, *chain], [9, 9, None, 9, 4, 9])).toPandas()
+    assert (got["component_id"] == 4).all()
+
+
 def jaccard(a, b):
     s = [set(xxhash.xxh64_intdigest(x, 42) for x in simhash_shingles(t)) for t in (a, b)]
     return len(s[0] & s[1]) / len(s[0] | s[1])
@@ -279,6 +322,41 @@ def test_redaction_keeps_everything_else(spark, secret_texts):
     assert secrets.redact(frame(spark, secret_texts)).columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_redaction_keeps_columns_with_the_names_of_spans(spark):
+    rows = [(1, "x aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xY y", 7, "b", "c", [1], 0.5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, assign int, base string, access string, entropy array<int>, hex double")
+    assert [tuple(r) for r in secrets.redact(df).collect()] == [(1, "x [SECRET] y", 7, "b", "c", [1], 0.5)]
+
+
+def test_entropy_of_long_candidates_against_every_window(spark):
+    r = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    part = lambda: "".join(r.choices(letters, k=r.randint(1, 90))) if r.random() < 0.5 else r.choice("abAB1") * r.randint(1, 90)
+    texts = ["".join(part() for _ in range(n)) for n in (1, 2, 5, 20, 60, 150)] * 3
+    w = secrets.WINDOW
+    for row in secrets.find_secrets(frame(spark, texts)).collect():
+        t = texts[row.doc_id]
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            c = m[0]
+            if not re.search(secrets.REQUIRE, c) or any(re.search(p, c) for p in secrets.ALLOW):
+                continue
+            if any(b.s < m.end() and b.e > m.start() for b in (*row.assign, *row.access, *row.hex)):
+                continue
+            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", c) else "mixed" if re.search("[a-z]", c) and re.search("[A-Z]", c) else "lower"
+            for i in range(len(c) - w + 1):
+                n = Counter(c[i : i + w]).values()
+                if round(-sum(x / w * math.log2(x / w) for x in n), 9) >= secrets.THRESHOLDS[kind]:
+                    s, e = m.start() + max(0, i - w), m.start() + min(len(c), i + 2 * w)
+                    if want and want[-1][1] >= s:
+                        want[-1][1] = e
+                    else:
+                        want.append([s, e])
+        assert [[x.s, x.e] for x in row.entropy] == want
+    long = "".join(r.choices(letters, k=300_000))
+    assert secrets.digests(frame(spark, [long])).first().spans == "entropy:0:300000"
+
+
 def test_no_python_on_the_native_path(spark, sf):
     for name in ("op1_secrets", "op3_urls"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
