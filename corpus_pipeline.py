@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import decontaminate, packing, secrets, simhash, toxicity
 from netloom.llm.common import materialise, read_table
-from netloom.llm.queries import TOKENIZERS
+from netloom.llm.queries import vocabulary_file
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its place and its ids' checksum."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096, checksums=True)
+    return packing.pack(docs, vocabulary_file("word_bpe_49k.json"), end_id=2, capacity=4096, checksums=True)
 
 
 STAGES = [
