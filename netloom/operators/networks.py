@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.functions.stats import ecdf, safe_corr, zscore
+from netloom.functions.stats import cuts_of, ecdf, safe_corr, zscore
 
 ROOT2 = 2**0.5
 
@@ -34,8 +34,9 @@ def diff_edges(net: DataFrame, threshold: float = 0.8, condition: str = "cond")
     product of the empirical distribution functions of score and difference exceeds the
     threshold. ``condition`` is true for edges of ``a``."""
     d = net.withColumns({"d": F.col("a") - F.col("b"), "e": F.col("b") - F.col("a")})
+    cuts = cuts_of(d, "a", "b", "d", "e")
     for value, out in (("a", "fa"), ("b", "fb"), ("d", "fd"), ("e", "fe")):
-        d = ecdf(d, value, out)
+        d = ecdf(d, value, out, cuts[value])
     one = d.where(F.col("fa") * F.col("fd") > threshold).select("tf", "gene", F.col("a").alias("score"), F.lit(True).alias(condition))
     two = d.where(F.col("fb") * F.col("fe") > threshold).select("tf", "gene", F.col("b").alias("score"), F.lit(False).alias(condition))
     return one.unionByName(two)
@@ -105,20 +106,28 @@ def dense(edges: DataFrame, value: str = "weight") -> DataFrame:
     return grid.join(edges.select("tf", "gene", value), ["tf", "gene"], "left").fillna(0.0, [value])
 
 
-def align(motif: DataFrame, expr: DataFrame, ppi: DataFrame, mode: str = "union") -> tuple[DataFrame, DataFrame, DataFrame]:
+def align(
+    motif: DataFrame, expr: DataFrame, ppi: DataFrame, mode: str = "union", missing_motif: bool = True, missing_expr: bool = False, missing_ppi: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """motif (tf, gene, weight), expr (gene, sample, value), ppi (i, j, weight) on one universe.
 
     union: genes of motif and expression, missing values 0. intersection: genes in both, and
-    interactions between the motif's tfs. legacy: motif genes in the expression; the expression
-    and the interactions are kept as they are.
+    interactions between the motif's tfs. legacy: by the three flags, motif edges of genes without
+    expression go, expression of genes without a motif goes, and interactions of tfs without a
+    motif go; by default the first only.
     """
     if mode == "union":
         genes = motif.select("gene").union(expr.select("gene")).distinct()
         full = genes.crossJoin(F.broadcast(expr.select("sample").distinct()))
         return motif, full.join(expr, ["gene", "sample"], "left").fillna(0.0, ["value"]), ppi
     have = expr.select("gene").distinct()
-    m = motif.join(have, "gene", "left_semi")
+    m = motif.join(have, "gene", "left_semi") if mode != "legacy" or missing_motif else motif
     if mode == "legacy":
+        if missing_expr:
+            expr = expr.join(m.select("gene").distinct(), "gene", "left_semi")
+        if missing_ppi:
+            known = m.select(F.col("tf").alias("i")).distinct()
+            ppi = ppi.join(known, "i", "left_semi").join(known.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "weight")
         return m, expr, ppi
     if mode != "intersection":
         raise ValueError("mode is one of union, intersection, legacy")
@@ -186,6 +195,56 @@ def update_diagonal(m: DataFrame, num: int, alpha: float, step: int) -> DataFram
     return m.select("i", "j", F.when(F.col("i") == F.col("j"), new).otherwise(F.col("v")).alias("v"))
 
 
+def message_step(w: DataFrame, p: DataFrame, c: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(tf, gene, v): regulation after one round of message passing from regulation (tf, gene, v),
+    cooperation and co-regulation (i, j, v), all complete and normalised."""
+    responsible = tanimoto(p.select("i", F.col("j").alias("k"), "v"), w.select(F.col("tf").alias("k"), F.col("gene").alias("j"), "v"))
+    available = tanimoto(w.select(F.col("tf").alias("i"), F.col("gene").alias("k"), "v"), c.select(F.col("i").alias("k"), "j", "v"))
+    both = responsible.join(available.withColumnRenamed("v", "u"), ["i", "j"]).select(F.col("i").alias("tf"), F.col("j").alias("gene"), ((F.col("v") + F.col("u")) / 2).alias("u"))
+    return w.join(both, ["tf", "gene"]).select("tf", "gene", (F.col("v") * (1 - alpha) + F.col("u") * alpha).alias("v"))
+
+
+def cooperation_step(w: DataFrame, p: DataFrame, num: int, alpha: float = 0.1, step: int = 0, frozen: list | None = None) -> DataFrame:
+    """(i, j, v): cooperation after one round, from regulation (tf, gene, v) and cooperation (i, j, v) of
+    ``num`` tfs. The new one's diagonal follows its rows' deviation. Rows and columns of frozen tfs
+    keep their values off the diagonal."""
+    new = tanimoto(w.select(F.col("tf").alias("i"), F.col("gene").alias("k"), "v"), w.select(F.col("gene").alias("k"), F.col("tf").alias("j"), "v"))
+    new = update_diagonal(new, num, alpha, step)
+    x = p.join(new.withColumnRenamed("v", "u"), ["i", "j"])
+    moved = F.col("v") * (1 - alpha) + F.col("u") * alpha
+    held = (F.col("i").isin(frozen) | F.col("j").isin(frozen)) & (F.col("i") != F.col("j")) if frozen else F.lit(False)
+    return x.select("i", "j", F.when(held, F.col("v")).otherwise(moved).alias("v"))
+
+
+def descent_step(w: DataFrame, p: DataFrame, c: DataFrame, lam: float = 0.035, gamma: float = 0.335, eta: float = 1e-5, bexp: float = 1.0) -> DataFrame:
+    """(tf, gene, gradient, v): the first step of gradient descent for regulation (tf, gene, v) against
+    cooperation and co-regulation (i, j, v), complete, each divided by its trace: the gradient
+    W W'W + P W + W C with P and C weighed by ``lam`` and ``gamma``, and W moved by it."""
+    trace = lambda m: m.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))).alias("t"))
+    over = lambda m: m.crossJoin(F.broadcast(trace(m))).withColumn("v", F.col("v") / F.col("t")).drop("t")  # one row
+    p, c = over(p), over(c)
+    size = w.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t"))
+    w = w.crossJoin(F.broadcast(size)).select("tf", "gene", (F.col("v") / F.col("t")).alias("v"))
+    p = p.withColumn("v", F.col("v") * -(1 - lam) + F.when(F.col("i") == F.col("j"), gamma).otherwise(0.0))
+    c = c.withColumn("v", F.col("v") * -lam)
+    a, b = w.alias("a"), w.alias("b")
+    square = a.join(b, F.col("a.tf") == F.col("b.tf")).groupBy(F.col("a.gene").alias("i"), F.col("b.gene").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("v"))
+    right = square.unionByName(c.select("i", "j", "v")).groupBy("i", "j").agg(F.sum("v").alias("u"))  # W'W + C
+    one = w.join(right, w["gene"] == right["i"]).groupBy("tf", F.col("j").alias("g")).agg(F.sum(F.col("v") * F.col("u")).alias("x"))
+    left = p.select("i", "j", F.col("v").alias("u")).join(w, F.col("j") == F.col("tf")).groupBy(F.col("i").alias("t"), F.col("gene").alias("h")).agg(F.sum(F.col("v") * F.col("u")).alias("y"))
+    g = one.join(left, (F.col("tf") == F.col("t")) & (F.col("g") == F.col("h"))).select("tf", F.col("g").alias("gene"), (F.col("x") + F.col("y")).alias("gradient"))
+    b1, b2 = 0.9, 0.999  # the moments' decay
+    root, lead = (1 - b2 ** (bexp + 1)) ** 0.5, 1 - b1 ** (bexp + 1)
+    m, q = 4 * (1 - b1) * F.col("gradient"), 16 * (1 - b2) * F.col("gradient") * F.col("gradient")
+    return g.join(w, ["tf", "gene"]).select("tf", "gene", "gradient", (F.col("v") - root / lead * eta * m / (1e-8 * root + F.sqrt(q))).alias("v"))
+
+
+def dense_square(pairs: DataFrame, nodes: DataFrame, value: str = "weight") -> DataFrame:
+    """(i, j, v) for all pairs of nodes (i), absent ones 0: as large as the dense matrix by definition."""
+    grid = nodes.select("i").crossJoin(nodes.select(F.col("i").alias("j")))
+    return grid.join(pairs.select("i", "j", F.col(value).alias("v")), ["i", "j"], "left").fillna(0.0, ["v"])
+
+
 def degree_adjust(net: DataFrame, value: str = "score") -> DataFrame:
     """score * sqrt(mean of the column^2 + mean of the row^2) of a complete matrix."""
     r, c = F.avg(value).over(W.partitionBy("tf")), F.avg(value).over(W.partitionBy("gene"))
@@ -206,9 +265,8 @@ def lioness_pearson(expr: DataFrame) -> DataFrame:
     p = a.join(b, (F.col("a.sample") == F.col("b.sample")) & (F.col("a.gene") < F.col("b.gene"))).select(
         F.col("a.gene").alias("i"), F.col("b.gene").alias("j"), F.col("a.sample").alias("sample"), F.col("a.value").alias("x"), F.col("b.value").alias("y")
     )
-    w = W.partitionBy("i", "j")
     sums = {"n": F.count(F.lit(1)), "sx": F.sum("x"), "sy": F.sum("y"), "sxx": F.sum(F.col("x") * F.col("x")), "syy": F.sum(F.col("y") * F.col("y")), "sxy": F.sum(F.col("x") * F.col("y"))}
-    p = p.withColumns({k: v.over(w) for k, v in sums.items()})
+    p = p.join(p.groupBy("i", "j").agg(*(v.alias(k) for k, v in sums.items())), ["i", "j"])
 
     def r(n: Column, sx, sy, sxx, syy, sxy) -> Column:
         vx, vy = n * sxx - sx * sx, n * syy - sy * sy

@@ -3,14 +3,14 @@ connections that meet in the middle. Edges are (tf, gene, ...)."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.functions.stats import benjamini_hochberg
-from netloom.functions.tails import rank_sum_greater
+from netloom.functions.stats import benjamini_hochberg, cuts_of, running
+from netloom.functions.tails import normal_cdf
+from netloom.sources.sinks import exists
 
 
 def combine(networks: list[DataFrame]) -> DataFrame:
@@ -25,34 +25,74 @@ def combine(networks: list[DataFrame]) -> DataFrame:
 def empirical_p(edges: DataFrame, null: DataFrame) -> DataFrame:
     """(tf, gene, score, p): share of null scores above each score. Both sides are put in one
     order by distinct values, so no edge meets every null value."""
-    n = null.count()
     e = edges.groupBy(F.col("score").alias("v")).agg(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("edge"))
     u = e.unionByName(null.groupBy(F.col("score").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("edge")))
     per = u.groupBy("v").agg(F.sum("n").alias("n"), F.max("edge").alias("edge"))
-    above = F.coalesce(F.sum("n").over(W.orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = per.withColumn("p", above / F.lit(float(max(n, 1)))).where("edge = 1").select("v", "p")
+    upto = running(per, "v", "n", "r", cuts_of(null, "score")["score"])
+    share = (F.col("r_all") - F.col("r")) / F.greatest("r_all", F.lit(1)).cast("double")
+    t = upto.where("edge = 1").select("v", share.alias("p"))
     return edges.join(t, edges["score"] == t["v"]).drop("v")
 
 
-def p_values(combined: DataFrame, null: DataFrame, fdr: bool = False, limit: int = 2_000_000) -> DataFrame:
-    """(tf, gene, p): rank-sum test that an edge's scores exceed the null (its share above one
-    score); optionally BH-adjusted. The null is one column, checked against ``limit``, sorted
-    and sent to every task."""
-    single = combined.where(F.size("scores") > 1).isEmpty()
-    if single:
+def rank_sum_p(combined: DataFrame, null: DataFrame) -> DataFrame:
+    """(tf, gene, p): rank-sum test that each edge's scores exceed the null. Ranks of all scores
+    among the null values come from one ordering by ranges, for all edges together: W adds, over
+    an edge's scores, the null values below and half of those equal. The normal tail is corrected
+    for continuity, and for ties by counts of equal null values and scores."""
+    x = combined.select("tf", "gene", F.explode("scores").alias("score"))
+    e = x.groupBy(F.col("score").alias("v")).agg(F.lit(0).cast("bigint").alias("n"))
+    per = e.unionByName(null.groupBy(F.col("score").alias("v")).agg(F.count(F.lit(1)).alias("n"))).groupBy("v").agg(F.sum("n").alias("n"))
+    at = running(per, "v", "n", "r", cuts_of(null, "score")["score"])
+    cube = lambda c: c * c * c - c
+    t = null.groupBy("score").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(cube(F.col("c"))).alias("ties"))
+    y = x.groupBy("tf", "gene", "score").agg(F.count(F.lit(1)).cast("double").alias("k")).join(at, F.col("score") == F.col("v"))
+    own = cube(F.col("k") + F.col("n")) - cube(F.col("n").cast("double"))  # what this edge's scores add to the ties
+    g = y.groupBy("tf", "gene").agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("r") - F.col("n") / 2)).alias("w"), F.sum(own).alias("own"), F.max("r_all").alias("m"))
+    n, m = F.col("n"), F.col("m").cast("double")
+    var = n * m / 12 * ((n + m + 1) - (F.col("ties") + F.col("own")) / ((n + m) * F.greatest(n + m - 1, F.lit(1.0))))
+    z = F.when(var > 0, (F.col("w") - n * m / 2 - 0.5) / F.sqrt(F.greatest(var, F.lit(0.0))))
+
+    @F.pandas_udf("double")
+    def upper(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: 1.0 if v != v else 1 - normal_cdf(v))
+
+    return g.crossJoin(F.broadcast(t)).select("tf", "gene", upper(z).alias("p"))  # one row
+
+
+def p_values(combined: DataFrame, null: DataFrame, fdr: bool = False, cache: str | None = None) -> DataFrame:
+    """(tf, gene, p): rank-sum test that an edge's scores exceed the null (the null's share above
+    it where there is one score); optionally BH-adjusted. With ``cache`` the table is read from that
+    path, and written there first where it isn't yet."""
+    if cache and exists(combined.sparkSession, cache):
+        return combined.sparkSession.read.parquet(cache)
+    if combined.where(F.size("scores") > 1).isEmpty():
         out = empirical_p(combined.select("tf", "gene", F.col("scores")[0].alias("score")), null).drop("score")
     else:
-        if null.count() > limit:
-            raise ValueError("the null distribution is too large to send to every task; draw fewer values")
-        sorted_null = np.sort(np.array([r[0] for r in null.select("score").collect()], float))
-        shared = combined.sparkSession.sparkContext.broadcast(sorted_null)
+        out = rank_sum_p(combined, null)
+    if fdr:
+        out = benjamini_hochberg(out, "p", "q").select("tf", "gene", F.col("q").alias("p"))
+    if cache:
+        out.write.parquet(cache)
+        return combined.sparkSession.read.parquet(cache)
+    return out
 
-        @F.pandas_udf("double")
-        def tail(scores: pd.Series) -> pd.Series:
-            return pd.Series([rank_sum_greater(np.asarray(s, float), shared.value)[1] for s in scores])
 
-        out = combined.select("tf", "gene", tail("scores").alias("p"))
-    return benjamini_hochberg(out, "p", "q").select("tf", "gene", F.col("q").alias("p")) if fdr else out
+def breadth_first(edges: DataFrame, start: DataFrame, exclude: DataFrame, from_tf: bool, top: int | None = None) -> DataFrame:
+    """(tf, gene): one hop over (tf, gene, p) from the nodes ``start`` to nodes of the other side that
+    aren't in ``exclude`` (both: node); of these the ``top`` smallest p, ties by ends. Nodes that the
+    network lacks, and nodes in both lists, are refused."""
+    tfs, genes = edges.select(F.col("tf").alias("node")).distinct(), edges.select(F.col("gene").alias("node")).distinct()
+    if not start.join(tfs if from_tf else genes, "node", "left_anti").isEmpty():
+        raise ValueError("Starting nodes do not overlap with network nodes")
+    if not exclude.join(tfs.union(genes), "node", "left_anti").isEmpty():
+        raise ValueError("List of nodes to exclude does not overlap with network nodes")
+    if not start.join(exclude, "node", "left_semi").isEmpty():
+        raise ValueError("Starting nodes cannot overlap with nodes to exclude")
+    near, far = ("tf", "gene") if from_tf else ("gene", "tf")
+    got = edges.join(start.select(F.col("node").alias(near)), near, "left_semi").join(exclude.select(F.col("node").alias(far)), far, "left_anti")
+    if top is not None:
+        got = got.orderBy("p", "tf", "gene").limit(top)
+    return got.select("tf", "gene")
 
 
 def hop(edges: DataFrame, start: DataFrame, visited: DataFrame | None, from_tf: bool, top: int | None = None) -> DataFrame:
@@ -114,20 +154,24 @@ def connections(hops: DataFrame) -> DataFrame:
     return kept.join(lone_tf, "tf", "left_anti").select("tf", "gene")
 
 
-def subnetwork(seeds: list[str], networks: list[DataFrame], null: DataFrame, alpha: float = 0.05, hops: int = 2, top: int | None = None, fdr: bool = False) -> DataFrame:
+def subnetwork(seeds: list[str], networks: list[DataFrame], null: DataFrame, alpha: float = 0.05, hops: int = 2, top: int | None = None, fdr: bool = False, cache: str | None = None) -> DataFrame:
     """Significant edges that connect the seed genes within ``hops`` hops; arguments are checked."""
-    if not seeds or not all(isinstance(s, str) for s in seeds):
-        raise ValueError("seeds is a list of gene names")
-    if not networks:
-        raise ValueError("at least one network is needed")
-    if not 0 < alpha < 1:
-        raise ValueError("alpha lies between 0 and 1")
-    if hops < 2 or hops % 2:
-        raise ValueError("hops is an even number of at least 2")
+    if not isinstance(seeds, (list, tuple)) or not seeds or not all(isinstance(s, str) for s in seeds):
+        raise ValueError("Wrong input type! seeds is a list of gene names")
+    if not isinstance(networks, (list, tuple)) or not networks or not all(isinstance(n, DataFrame) for n in networks):
+        raise ValueError("Wrong input type! Each network must be a data frame, and at least one network is needed")
+    if any(isinstance(x, bool) or not isinstance(x, (int, float)) for x in (alpha, hops)):
+        raise ValueError("Wrong input type! alpha and hops must be scalar numeric values")
     for n in networks:
         if not {"tf", "gene", "score"} <= set(n.columns):
-            raise ValueError("a network has the columns tf, gene and score")
-    p = p_values(combine(networks), null, fdr).where(F.col("p") < alpha)
+            raise ValueError("Each network must have the columns tf, gene and score")
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be between 0 and 1, not including 0.")
+    if hops < 2 or hops % 2:
+        raise ValueError("hops must be an even number of at least 2.")
+    if dict(null.dtypes).get("score") not in ("double", "float", "int", "bigint"):
+        raise ValueError("the null distribution must be numeric")
+    p = p_values(combine(networks), null, fdr, cache).where(F.col("p") < alpha)
     spark = p.sparkSession
     found = all_hops(p, spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "node string"), hops // 2, top)
     return connections(found)
