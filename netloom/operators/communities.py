@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.functions.stats import global_rank
 from netloom.functions.tails import hypergeometric_upper, ks_greater, rank_sum_greater
 
 
@@ -97,28 +98,42 @@ def q_scores(edges: DataFrame, red: DataFrame, blue: DataFrame) -> DataFrame:
     return out
 
 
+def best_community(
+    edges: DataFrame, side: str, other: str, degrees: DataFrame, opposite: DataFrame, opposite_degrees: DataFrame, m: float
+) -> tuple[DataFrame, int]:
+    """(node, com, g): the community of largest gain for each node of a side, and the largest label.
+
+    A node's gain from a community is its weight there minus what degrees lead one to expect. From
+    communities that it has no edge to it is negative, and least so for the one of the smallest total:
+    only this one is looked at beside those a node has edges to. Nothing dense is made.
+    """
+    total = opposite.join(opposite_degrees, "node").groupBy("com").agg(F.sum("k").alias("t"))
+    has = edges.join(opposite, edges[other] == opposite["node"]).groupBy(F.col(side).alias("node"), "com").agg(F.sum("weight").alias("w"))
+    least = total.orderBy("t", "com").limit(1).select("com")  # one row
+    empty = degrees.select("node").crossJoin(F.broadcast(least)).withColumn("w", F.lit(0.0))
+    w = has.unionByName(empty).groupBy("node", "com").agg(F.sum("w").alias("w"))
+    gain = F.col("w") - F.col("k") * F.col("t") / F.lit(m)
+    gain = F.when(F.abs(gain) <= 2.2e-16 * max(m, 1.0), 0.0).otherwise(gain)
+    rows = w.join(degrees, "node").join(total, "com").select("node", "com", gain.alias("g"))
+    top = rows.groupBy("node").agg(F.min(F.struct((-F.col("g")).alias("g"), "com")).alias("x"))
+    last = total.agg(F.max("com")).first()[0] or 0
+    return top.select("node", F.col("x.com").cast("bigint").alias("com"), (-F.col("x.g")).alias("g")), last
+
+
 def brim(edges: DataFrame, blue: DataFrame, least: float = 1e-4, rounds: int = 100) -> tuple[DataFrame, DataFrame, list[float]]:
     """Alternate best assignments of reds and blues, from a membership (node, com) of the blues,
     until modularity grows by no more than min(least, 1/m). A node goes to the community of
     largest gain (the least label on a tie, gains within rounding of 0 being 0); where all are
-    negative it begins a community of its own. Gains come from sums per node and community and
-    the communities' totals, so nothing dense is made but node x community.
+    negative it begins a community of its own.
     Returns red, blue and the modularities."""
     m = edges.agg(F.sum("weight")).first()[0]
     k = checkpoint_ready(edges.groupBy(F.col("red").alias("node")).agg(F.sum("weight").alias("k")))
     d = checkpoint_ready(edges.groupBy(F.col("blue").alias("node")).agg(F.sum("weight").alias("k")))
 
     def best(side: str, other: str, degrees: DataFrame, opposite: DataFrame, opposite_degrees: DataFrame) -> DataFrame:
-        total = opposite.join(opposite_degrees, "node").groupBy("com").agg(F.sum("k").alias("t"))
-        has = edges.join(opposite, edges[other] == opposite["node"]).groupBy(F.col(side).alias("n"), "com").agg(F.sum("weight").alias("w"))
-        grid = degrees.crossJoin(total).join(has.withColumnRenamed("n", "node"), ["node", "com"], "left")
-        gain = F.coalesce("w", F.lit(0.0)) - F.col("k") * F.col("t") / F.lit(m)
-        gain = F.when(F.abs(gain) <= 2.2e-16 * max(m, 1.0), 0.0).otherwise(gain)
-        top = grid.select("node", "com", gain.alias("g")).groupBy("node").agg(F.min(F.struct((-F.col("g")).alias("g"), "com")).alias("x"))
-        last = total.agg(F.max("com")).first()[0] or 0
-        fresh = last + F.row_number().over(W.orderBy("node"))
-        lone = top.where("x.g > 0").select("node", fresh.cast("bigint").alias("com"))
-        return checkpoint_ready(top.where("x.g <= 0").select("node", F.col("x.com").cast("bigint").alias("com")).unionByName(lone))
+        top, last = best_community(edges, side, other, degrees, opposite, opposite_degrees, m)
+        lone = top.where("g < 0").select("node", (F.lit(last + 1) + F.monotonically_increasing_id()).alias("com"))
+        return checkpoint_ready(top.where("g >= 0").select("node", "com").unionByName(lone))
 
     blue = checkpoint_ready(blue.select("node", F.col("com").cast("bigint").alias("com")))
     history: list[float] = []
@@ -131,25 +146,75 @@ def brim(edges: DataFrame, blue: DataFrame, least: float = 1e-4, rounds: int = 1
     return red, blue, history
 
 
-def seed_by_louvain(edges: DataFrame, limit: int = 4_000_000) -> DataFrame:
-    """(node, com) of the blues from the projection of the network on them (Louvain)."""
+def projection(edges: DataFrame) -> DataFrame:
+    """(i, j, w), i < j: blues that share reds, by the sum of the products of their weights."""
     a, b = edges.alias("a"), edges.alias("b")
-    p = a.join(b, (F.col("a.red") == F.col("b.red")) & (F.col("a.blue") < F.col("b.blue"))).groupBy(F.col("a.blue").alias("i"), F.col("b.blue").alias("j")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("w"))
-    if p.count() > limit:
-        raise ValueError("the projection is too large for the sequential seed; give a seed of your own")
-    nodes = [r[0] for r in edges.select("blue").distinct().orderBy("blue").collect()]
+    p = a.join(b, (F.col("a.red") == F.col("b.red")) & (F.col("a.blue") < F.col("b.blue")))
+    return p.groupBy(F.col("a.blue").alias("i"), F.col("b.blue").alias("j")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("w"))
+
+
+def seed_communities(edges: DataFrame, method: str = "LCS", project: bool = True, limit: int = 4_000_000) -> DataFrame:
+    """(node, com) of the blues: Louvain (LCS), leading eigenvectors (LEC) or greedy merging (FG) of the
+    projection of the network on them, or of the whole network taken as one-sided."""
+    if method not in SEEDS:
+        raise ValueError(f"method is one of {', '.join(SEEDS)}")
+    pairs = projection(edges) if project else edges.select(F.concat(F.lit("r:"), F.col("red").cast("string")).alias("i"), F.concat(F.lit("b:"), F.col("blue").cast("string")).alias("j"), F.col("weight").alias("w"))
+    pairs = checkpoint_ready(pairs.groupBy("i", "j").agg(F.sum("w").alias("w")))
+    blues = [r[0] for r in edges.select("blue").distinct().orderBy("blue").limit(limit + 1).collect()]
+    nodes = blues if project else sorted({x for r in pairs.select("i", "j").limit(limit + 1).collect() for x in r})
+    if len(nodes) ** 2 > limit or pairs.count() > limit:
+        raise ValueError("the network is too large for the sequential seed; give a seed of your own")
     at = {x: i for i, x in enumerate(nodes)}
     mat = np.zeros((len(nodes), len(nodes)))
-    for i, j, w in p.collect():
+    for i, j, w in pairs.collect():
         mat[at[i], at[j]] = mat[at[j], at[i]] = w
     deg, total = mat.sum(1), max(mat.sum(), 1e-12)
-    com = louvain(mat - np.outer(deg, deg) / total)
+    com = SEEDS[method](mat - np.outer(deg, deg) / total)
     kind = edges.select("blue").dtypes[0][1]
-    return edges.sparkSession.createDataFrame([(x, int(c)) for x, c in zip(nodes, com, strict=True)], f"node {kind}, com bigint")
+    return edges.sparkSession.createDataFrame([(x, int(com[at[x if project else f"b:{x}"]])) for x in blues], f"node {kind}, com bigint")
+
+
+def condor_cluster(edges: DataFrame, seed: DataFrame | None = None, method: str = "LCS", project: bool = True):
+    """Bipartite communities from a seed of the blues, or from ``seed_communities``. The assignments
+    work on sums per node and community throughout, so there is no variant for low memory."""
+    return brim(edges, seed if seed is not None else seed_communities(edges, method, project))
+
+
+def leading_eigenvectors(b: np.ndarray) -> np.ndarray:
+    """Labels by splitting groups in two by the sign of the leading eigenvector of their modularity
+    matrix (generalised: rows add to zero within the group), as long as modularity grows."""
+    label = np.zeros(len(b), int)
+    todo, last = [np.arange(len(b))], 0
+    while todo:
+        g = todo.pop()
+        sub = b[np.ix_(g, g)]
+        sub = sub - np.diag(sub.sum(1))
+        val, vec = np.linalg.eigh(sub)
+        side = vec[:, -1] >= 0
+        sign = np.where(side, 1.0, -1.0)
+        if val[-1] <= 1e-9 or side.all() or not side.any() or sign @ sub @ sign <= 1e-9:
+            continue
+        last += 1
+        label[g[~side]] = last
+        todo += [g[side], g[~side]]
+    return label
 
 
-def condor_cluster(edges: DataFrame, seed: DataFrame | None = None):
-    return brim(edges, seed if seed is not None else seed_by_louvain(edges))
+def greedy_merging(b: np.ndarray) -> np.ndarray:
+    """Labels by merging the pair of groups of largest gain until none gains."""
+    mat = b.astype(float).copy()
+    np.fill_diagonal(mat, -np.inf)
+    label = np.arange(len(b))
+    while len(b):
+        i, j = sorted(divmod(int(np.argmax(mat)), len(mat)))
+        if not mat[i, j] > 1e-12:
+            break
+        mat[i] += mat[j]
+        mat[:, i] = mat[i]
+        mat[i, i] = -np.inf
+        mat[j], mat[:, j] = -np.inf, -np.inf
+        label[label == j] = i
+    return np.unique(label, return_inverse=True)[1] if len(b) else label
 
 
 def louvain(b: np.ndarray, passes: int = 50) -> np.ndarray:
@@ -185,6 +250,10 @@ def louvain(b: np.ndarray, passes: int = 50) -> np.ndarray:
     return whole
 
 
+#: Ways to seed bipartite communities, on a modularity matrix.
+SEEDS = {"LCS": louvain, "LEC": leading_eigenvectors, "FG": greedy_merging}
+
+
 def core_enrichment(test: list, q: pd.DataFrame, permutations: int = 0, seed: int = 0) -> dict[str, float]:
     """One-sided KS and rank-sum tests that the test nodes have larger scores; with permutations
     also (1 + exceedances) / permutations for both."""
@@ -248,17 +317,32 @@ def rotation_rank(one: DataFrame, two: DataFrame) -> DataFrame:
     n = x.groupBy("c1").agg(F.count(F.lit(1)).alias("n"))
     s = x.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"))
     d = x.join(s, ["c1", "c2"]).join(n, "c1").select("node", (1 - F.col("m") / F.col("n")).alias("deviation"))
-    return d.withColumn("rank", F.rank().over(W.orderBy(F.desc("deviation"))))
+    return global_rank(d, "deviation", "rank", descending=True, ties="min").withColumn("rank", F.col("rank").cast("int"))
+
+
+def control_communities(net: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(node, com) of the tfs and of the genes of (tf, gene, a, b) from the positive edges of a. Nodes
+    without such an edge get a community by a seeded hash."""
+    control = net.where("a > 0").select(F.col("gene").alias("red"), F.col("tf").alias("blue"), F.col("a").alias("weight"))
+    red, blue, _ = condor_cluster(control)
+    coms = checkpoint_ready(red.select("com").union(blue.select("com")).distinct())
+    every = F.lit([r[0] for r in coms.orderBy("com").collect()] or [0])  # a number for each community
+
+    def completed(side: str, known: DataFrame) -> DataFrame:
+        any_com = F.element_at(every, (F.pmod(F.xxhash64("node", F.lit(seed)), F.size(every)) + 1).cast("int"))
+        x = net.select(F.col(side).alias("node")).distinct().join(known, "node", "left")
+        return checkpoint_ready(x.select("node", F.coalesce("com", any_com.cast("bigint")).alias("com")))
+
+    return completed("tf", blue), completed("gene", red)
 
 
 def alpaca(net: DataFrame, limit: int = 4_000_000) -> DataFrame:
     """(node, side, module, score) of a network (tf, gene, a, b): control communities by BRIM,
     differential modularity, generalised Louvain, scores. The sequential last step takes a dense
     matrix, so tfs x genes is checked against ``limit`` first."""
-    control = net.where("a > 0").select(F.col("gene").cast("string").alias("red"), F.col("tf").cast("string").alias("blue"), F.col("a").alias("weight"))
-    red, blue, _ = condor_cluster(control)
     named = net.select(F.col("tf").cast("string").alias("tf"), F.col("gene").cast("string").alias("gene"), "a", "b")
-    d = checkpoint_ready(dwbm(named, blue, red))
+    tf_com, gene_com = control_communities(named)
+    d = checkpoint_ready(dwbm(named, tf_com, gene_com))
     if d.count() > limit:
         raise ValueError("too many tfs and genes for the sequential module search")
     wide = d.toPandas().pivot(index="tf", columns="gene", values="d").fillna(0.0).sort_index(axis=0).sort_index(axis=1)

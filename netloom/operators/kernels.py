@@ -36,10 +36,31 @@ def correlation(expr: np.ndarray) -> np.ndarray:
     return c
 
 
+def rank_correlation(expr: np.ndarray) -> np.ndarray:
+    from netloom.functions.tails import mean_ranks
+
+    return correlation(np.array([mean_ranks(x) for x in expr]).reshape(expr.shape))
+
+
+def kendall_correlation(expr: np.ndarray) -> np.ndarray:
+    """Tau-b of all rows: for each sample, signs of its differences to the others."""
+    n = expr.shape[1]
+    both, own = np.zeros((len(expr), len(expr))), np.zeros(len(expr))
+    for k in range(n - 1):
+        s = np.sign(expr[:, k + 1 :] - expr[:, k : k + 1])
+        both += s @ s.T
+        own += (s * s).sum(1)
+    d = np.sqrt(np.outer(own, own))
+    out = np.divide(both, d, out=np.zeros_like(both), where=d > 0)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
 def panda(c, p, w, threshold=0.001, alpha=0.1, frozen=None, rounds=500):
     """Message passing between co-regulation c, cooperation p and regulation w (all normalised)
     until the mean change of w is below the threshold. ``frozen`` rows and columns of p keep
-    their values off the diagonal. Returns w, the number of steps and the last change."""
+    their values off the diagonal. Returns w, the number of steps, the last change, p and c. Raises
+    if ``rounds`` don't suffice."""
     c, p, w = c.copy(), p.copy(), w.copy()
     fixed = p.copy()
     t, g = w.shape
@@ -60,7 +81,9 @@ def panda(c, p, w, threshold=0.001, alpha=0.1, frozen=None, rounds=500):
             diagonal(new, g, alpha, step)
             c = (1 - alpha) * c + alpha * new
         step += 1
-    return w, step, change
+    if not change <= threshold:
+        raise RuntimeError(f"message passing did not settle in {rounds} rounds")
+    return w, step, change, p, c
 
 
 def otter(w, p, c, lam=0.035, gamma=0.335, rounds=60, eta=1e-5, bexp=1.0):
@@ -167,6 +190,38 @@ def cobra(x: np.ndarray, expr: np.ndarray):
     return {"psi": psi, "Q": q, "D": val[keep], "G": g}
 
 
+def shrunken_partial_correlation(expr: np.ndarray) -> np.ndarray:
+    """Partial correlations of genes x samples, 1 on the diagonal, from correlations shrunk towards
+    none by the share that minimises the expected squared error: the correlations' summed
+    variances over their summed squares."""
+    n = expr.shape[1]
+    z = expr - expr.mean(1, keepdims=True)
+    sd = z.std(1, ddof=1, keepdims=True)
+    z = np.divide(z, sd, out=np.zeros_like(z), where=sd > 0)
+    r = z @ z.T / (n - 1)
+    mean = z @ z.T / n
+    var = n / (n - 1) ** 3 * ((z * z) @ (z * z).T - n * mean * mean)
+    off = ~np.eye(len(r), dtype=bool)
+    share = min(1.0, max(0.0, var[off].sum() / max((r[off] ** 2).sum(), 1e-300)))
+    shrunk = (1 - share) * r
+    np.fill_diagonal(shrunk, 1.0)
+    out = partial_correlation(np.linalg.inv(shrunk + 1e-12 * np.eye(len(r))))
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def cobra_of(x: np.ndarray, g: np.ndarray, c: np.ndarray) -> dict:
+    """Decompose a similarity c of the rows of g by covariates x (samples x q), along as many leading
+    eigenvectors of c as there are samples."""
+    n = g.shape[1]
+    val, vec = np.linalg.eigh(c)
+    top = np.argsort(val)[::-1][: min(n, len(c))]
+    q = vec[:, top]
+    qg = q.T @ g  # columns of q are orthonormal
+    hat = np.linalg.pinv(x.T @ x) @ x.T
+    return {"psi": np.array([(qg * (n * h) * qg).sum(1) for h in hat]), "Q": q, "D": val[top], "G": g}
+
+
 def transition_ols(n1: np.ndarray, n2: np.ndarray, remove_diagonal: bool = True) -> np.ndarray:
     """Least-squares change of each target tf (tfs x genes) on the source tfs, on residuals of the
     target on its own source."""
@@ -210,81 +265,178 @@ def transition_lasso(n1: np.ndarray, n2: np.ndarray, penalty: float = 0.01, roun
 TRANSITIONS = {"ols": transition_ols, "kabsch": lambda a, b: transition_kabsch(a.T, b.T), "l1": transition_lasso, "orig": transition_pinv}
 
 
-def logistic_ridge(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Fitted probabilities of a ridge logistic regression (Newton)."""
+def logistic_ridge(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int = 30, cutoff: float | None = None) -> np.ndarray:
+    """Fitted probabilities of a ridge logistic regression (Newton); with a cutoff, coefficients
+    whose Wald test has a larger p count as 0."""
     x = np.column_stack([np.ones(len(x)), x])
     ridge = penalty * np.eye(x.shape[1])
     ridge[0, 0] = 0
     b = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(b)), x.T @ (y - p) - ridge @ b)
+        info = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(b))
+        step = np.linalg.solve(info, x.T @ (y - p) - ridge @ b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
+    if cutoff is not None:
+        from netloom.functions.tails import normal_cdf
+
+        se = np.sqrt(np.maximum(np.diag(np.linalg.inv(info)), 1e-300))
+        weak = np.array([2 * normal_cdf(-abs(v)) > cutoff for v in b / se])
+        weak[0] = False
+        b = np.where(weak, 0.0, b)
     return 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
 
 
-def bere(motif: np.ndarray, expr: np.ndarray, alpha: float = 0.5, penalty: float = 10.0) -> np.ndarray:
-    """tfs x genes: (1 - alpha) rank of squared correlation with the tf's targets' mean + alpha rank
-    of the logistic fit of the motif by expression."""
+def _standard(x: np.ndarray) -> np.ndarray:
+    """Rows of mean 0 and length 1, or of zeros."""
+    z = x - x.mean(1, keepdims=True)
+    s = np.sqrt((z * z).sum(1, keepdims=True))
+    return np.divide(z, s, out=np.zeros_like(z), where=s > 0)
+
+
+def direct_evidence(motif: np.ndarray, z: np.ndarray, of_tf: list[int]) -> np.ndarray:
+    """Squared correlations of tfs and genes; a tf that is no gene is stood for by its targets' mean."""
+    t = np.array([z[k] if k >= 0 else (z[m > 0].mean(0) if (m > 0).any() else np.zeros(z.shape[1])) for m, k in zip(motif, of_tf, strict=True)])
+    return (_standard(t) @ z.T) ** 2
+
+
+def bere(motif: np.ndarray, expr: np.ndarray, alpha: float = 0.5, penalty: float = 10.0, of_tf: list[int] | None = None, cutoff: float | None = None) -> np.ndarray:
+    """tfs x genes: (1 - alpha) rank of the squared correlation with the tf + alpha rank of the
+    logistic fit of the motif by expression; not ranked where one of the two has no part."""
     from netloom.functions.tails import mean_ranks
 
-    z = expr - expr.mean(1, keepdims=True)
-    s = np.sqrt((z * z).sum(1, keepdims=True))
-    z = np.divide(z, s, out=np.zeros_like(z), where=s > 0)
-    target = np.array([z[m > 0].mean(0) if (m > 0).any() else np.zeros(z.shape[1]) for m in motif])
-    target /= np.maximum(np.sqrt((target * target).sum(1, keepdims=True)), 1e-12)
-    direct = (target @ z.T) ** 2
-    indirect = np.array([logistic_ridge(z, (m > 0).astype(float), penalty) for m in motif])
-    rank = lambda m: mean_ranks(m.ravel()).reshape(m.shape)
-    return (1 - alpha) * rank(direct) + alpha * rank(indirect)
-
-
-def crane_bipartite(w: np.ndarray, alpha: float = 0.1, beta: float = 0.0, seed: int = 0) -> np.ndarray:
-    """Perturb a strength network, keeping row and column sums: cycles of alternating steps on
-    random 2 x 2 minors, of a size relative to the entries' deviation."""
+    z = _standard(expr)
+    direct = direct_evidence(motif, z, of_tf or [-1] * len(motif)) if alpha < 1 else np.zeros(motif.shape)
+    fit = np.array([logistic_ridge(z, (m > 0).astype(float), penalty, cutoff=cutoff) for m in motif]) if alpha > 0 else np.zeros(motif.shape)
+    rank = (lambda m: mean_ranks(m.ravel()).reshape(m.shape)) if 0 < alpha < 1 else (lambda m: m)
+    return (1 - alpha) * rank(direct) + alpha * rank(fit)
+
+
+def correlation_difference(motif: np.ndarray, expr: np.ndarray) -> np.ndarray:
+    """Mean correlation of a gene with a tf's targets minus that with the other genes, over the
+    deviation of these differences across tfs."""
+    c = correlation(expr)
+    inside, outside = motif.sum(1, keepdims=True), (1 - motif).sum(1, keepdims=True)
+    d = np.divide(motif, inside, out=np.zeros_like(motif), where=inside != 0) @ c - np.divide(1 - motif, outside, out=np.zeros_like(motif), where=outside != 0) @ c
+    sd = d.std(0, ddof=1) if len(d) > 1 else np.ones(d.shape[1])
+    return np.divide(d, sd, out=np.zeros_like(d), where=sd > 0)
+
+
+def motif_network(motif: np.ndarray, expr: np.ndarray, of_tf: list[int], method: str = "bere", alpha: float = 0.5, cutoff: float | None = None, with_motif: bool = False) -> np.ndarray:
+    """A network of one condition (tfs x genes) by ``bere``, ``pearson`` or ``cd``; ``with_motif`` lifts
+    the prior's edges by the range of the others."""
+    if method == "bere":
+        out = bere(motif, expr, alpha, of_tf=of_tf, cutoff=cutoff)
+        lift = out.max() - out.min()
+    elif method == "pearson":
+        out = direct_evidence(motif, _standard(expr), of_tf)
+        lift = out.max() - out.min()
+    else:
+        out = correlation_difference(motif, expr)
+        lift = out.max()
+    return out + lift * motif if with_motif else out
+
+
+def jutter_degree(strengths: np.ndarray, beta: float, sloped: bool = True, seed: int = 0) -> np.ndarray:
+    """Noisy strengths. The noise has a constant part and, if sloped, one in proportion to a strength's
+    size, half as large for negative strengths. A negative beta asks for the scale of small networks."""
+    if beta == 0:
+        return strengths.astype(float)
+    # fixed values: slope and constant for small networks and for those of many genes
+    slope, constant = (0.06, 1.0) if beta < 0 else (0.025, 400.0)
+    beta = abs(beta)
+    sigma = np.full(len(strengths), constant * beta)
+    if sloped:
+        sigma = sigma + np.abs(strengths) * beta * slope * np.where(strengths < 0, 0.5, 1.0)
+    return strengths + np.random.default_rng(seed).normal(0, 1, len(strengths)) * sigma
+
+
+#: Times that a row is drawn back into the range of the network.
+PULLS = 150
+
+
+def _drawn_back(x: np.ndarray, free: np.ndarray, rest: np.ndarray, total: float, lo: float, hi: float) -> np.ndarray:
+    """A row x with the given sum over its free places, changed until what it leaves of ``rest`` for
+    the next row lies between lo and hi, or as nearly as ``PULLS`` rounds get."""
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        s = x[free].sum()
+        return np.where(free, x * (total / s), x) if abs(s) > 1e-12 else np.where(free, x + (total - s) / max(free.sum(), 1), x)
+
+    x = scaled(x)
+    for _ in range(PULLS):
+        left = rest - x
+        off = np.where(free, np.minimum(left - lo, 0) + np.maximum(left - hi, 0), 0.0)
+        if not off.any():
+            break
+        x = scaled(x + off)
+    return x
+
+
+def crane_bipartite(w: np.ndarray, alpha: float = 0.1, beta: float = 0.0, seed: int = 0) -> np.ndarray | None:
+    """Perturb a strength network, keeping row and column sums: rows, in random order, get noise
+    relative to their deviation and their sum back; what a row's columns then lack goes to the
+    next. ``beta`` first makes the strengths of both sides noisy. None if sums can't be kept."""
     r = np.random.default_rng(seed)
-    out = w.astype(float).copy()
-    n, m = out.shape
+    n, m = w.shape
     if n < 2 or m < 2:
-        return out
+        return w.astype(float).copy()
+    rows, cols = r.permutation(n), r.permutation(m)
+    a = w.astype(float)[np.ix_(rows, cols)]
     if beta:
-        out *= np.exp(r.normal(0, beta, (n, 1)))
-    size = alpha * max(out.std(), 1e-12)
-    for _ in range(3 * n * m):
-        i, k = r.choice(n, 2, replace=False)
-        j, q = r.choice(m, 2, replace=False)
-        d = r.normal(0, size)
-        out[i, j] += d
-        out[k, q] += d
-        out[i, q] -= d
-        out[k, j] -= d
+        a = a + ((jutter_degree(a.sum(1), beta, True, seed) - a.sum(1)) / m)[:, None]
+        a = a + (jutter_degree(a.sum(0), beta, False, seed + 1) - a.sum(0)) / n
+    strength, lo, hi = a.sum(1), a.min(), a.max()
+    free = np.ones(m, bool)
+    x = np.zeros_like(a)
+    now = a[0]
+    for i in range(1, n):
+        noisy = now + alpha * r.normal(0, max(now.std(ddof=1), 0.0), m)
+        rest = now + a[i]  # what this row and the next have to share
+        x[i - 1] = _drawn_back(noisy, free, rest, strength[i - 1], lo, hi)
+        now = rest - x[i - 1]
+    x[n - 1] = now
+    if not (np.allclose(x.sum(1), strength) and np.allclose(x.sum(0), a.sum(0)) and np.isfinite(x).all()):
+        return None
+    out = np.empty_like(x)
+    out[np.ix_(rows, cols)] = x
     return out
 
 
-def crane_unipartite(a: np.ndarray, alpha: float = 0.1, seed: int = 0) -> np.ndarray:
-    """Symmetric perturbation that keeps strengths and an empty diagonal: alternating 4-cycles."""
+def crane_unipartite(a: np.ndarray, alpha: float = 0.1, seed: int = 0, self_loops: bool = False) -> np.ndarray | None:
+    """The same for a symmetric network, row by row of its upper half: a row's places right of the
+    next node are free. The diagonal stays, or is left out without ``self_loops``."""
     r = np.random.default_rng(seed)
-    out = a.astype(float).copy()
-    n = len(out)
-    size = alpha * max(out.std(), 1e-12)
-    for _ in range(3 * n * n if n >= 4 else 0):
-        i, j, k, q = r.choice(n, 4, replace=False)
-        d = r.normal(0, size)
-        for x, y, s in ((i, j, d), (j, k, -d), (k, q, d), (q, i, -d)):
-            out[x, y] += s
-            out[y, x] += s
+    n = len(a)
+    order = r.permutation(n)
+    whole = a.astype(float)[np.ix_(order, order)]
+    if not self_loops:
+        np.fill_diagonal(whole, 0.0)
+    u = np.triu(whole)
+    strength, lo, hi = u.sum(1), u.min(), u.max()
+    x = u.copy()
+    now = u[0].copy()
+    for i in range(1, n - 1):
+        free = np.arange(n) > i
+        sd = np.delete(whole[i - 1], i - 1).std(ddof=1)
+        noisy = np.where(free, now + alpha * r.normal(0, sd, n), now)
+        rest = now + u[i]
+        x[i - 1] = _drawn_back(noisy, free, rest, strength[i - 1] - now[~free].sum(), lo, hi) if free.sum() > 1 else now
+        now = rest - x[i - 1]
+    if n > 1:
+        x[n - 2] = now
+    x = np.triu(x)
+    full = x + np.triu(x, 1).T
+    want = u + np.triu(u, 1).T
+    if not (np.allclose(full.sum(0), want.sum(0)) and np.isfinite(full).all()):
+        return None
+    out = np.empty_like(full)
+    out[np.ix_(order, order)] = full
     return out
 
 
-def jutter_degree(strengths: np.ndarray, beta: float, slope: float = 0.0, seed: int = 0) -> np.ndarray:
-    """Noisy strengths with the same total."""
-    r = np.random.default_rng(seed)
-    out = strengths + r.normal(0, 1, len(strengths)) * (beta + slope * np.abs(strengths))
-    return out + (strengths.sum() - out.sum()) / len(out)
-
-
 def classical_scaling(d: np.ndarray, k: int = 2) -> np.ndarray:
     n = len(d)
     j = np.eye(n) - 1 / n
@@ -310,12 +462,12 @@ def complete_linkage(d: np.ndarray, k: int) -> np.ndarray:
     return label
 
 
-def tiger(expr: np.ndarray, prior: np.ndarray, rounds: int = 300, signed: bool = True, noise: float = 1.0):
+def tiger(expr: np.ndarray, prior: np.ndarray, rounds: int = 300, signed: bool = True, noise: float = 1.0, baseline: bool = True):
     """expr (genes x samples) ~ w z + b by mean-field coordinate updates (posterior means): weights
     only on the prior's support (tfs x genes) with its signs, activities not negative."""
     support = prior.T != 0
     sign = np.sign(prior.T)
-    b = expr.mean(1, keepdims=True)
+    b = expr.mean(1, keepdims=True) if baseline else np.zeros((len(expr), 1))
     x = expr - b
     r = np.random.default_rng(0)
     w = np.where(support, np.where(sign == 0, 1, sign) * 0.1, 0.0)

@@ -70,6 +70,38 @@ def scaling(expr: DataFrame, n: int = 1000, axes: int = 2, limit: int = 3000) ->
     return pd.DataFrame(classical_scaling(m, axes), index=names)
 
 
+def check_annotation(expr: DataFrame, control: DataFrame | None = None, **options) -> pd.DataFrame:
+    """Coordinates of samples over the control genes (gene), or over all: samples whose phenotype is
+    wrongly noted lie among those of the other. Options are those of ``scaling``."""
+    return scaling(filter_by_label(expr, control, "gene", keep=True) if control is not None else expr, **options)
+
+
+def tissues_to_merge(expr: DataFrame, samples: DataFrame, n: int = 1000, axes: int = 2, prepare=None, limit: int = 3000) -> DataFrame:
+    """(major, minor, sample, axis, value): coordinates of the samples (sample, major, minor) of each
+    major group over its own most variable genes with a positive sum; a task a group. ``prepare``,
+    a function of the expression, may filter it first. A group is checked against ``limit`` samples."""
+    x = prepare(expr) if prepare else expr
+    x = x.join(samples.select("sample", "major", "minor"), "sample")
+    largest = x.groupBy("major").agg(F.count_distinct("sample").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > limit:
+        raise ValueError("too many samples in a group for dense scaling")
+    s = x.groupBy("major", "gene").agg(F.sum("value").alias("s"), F.stddev_samp("value").alias("sd")).where("s > 0")
+    top = s.withColumn("r", F.row_number().over(W.partitionBy("major").orderBy(F.desc("sd"), "gene"))).where(F.col("r") <= n)
+    kinds = dict(samples.dtypes)
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="sample", columns="gene", values="value").fillna(0.0)
+        m = wide.to_numpy(float)
+        d = np.sqrt(np.maximum(((m * m).sum(1)[:, None] + (m * m).sum(1) - 2 * m @ m.T), 0))
+        at = classical_scaling(d, axes)
+        minor = pdf.drop_duplicates("sample").set_index("sample")["minor"]
+        rows = [(pdf["major"].iloc[0], minor[s], s, k + 1, float(at[i, k])) for i, s in enumerate(wide.index) for k in range(at.shape[1])]
+        return pd.DataFrame(rows, columns=["major", "minor", "sample", "axis", "value"])
+
+    schema = f"major {kinds['major']}, minor {kinds['minor']}, sample {kinds['sample']}, axis int, value double"
+    return x.join(top.select("major", "gene"), ["major", "gene"], "left_semi").groupBy("major").applyInPandas(place, schema)
+
+
 def histogram(expr: DataFrame, width: float) -> DataFrame:
     """(sample, bin, n): what a density plot shows."""
     return expr.groupBy("sample", F.floor(F.col("value") / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -167,6 +199,15 @@ def subtypes(distance: DataFrame, ks: list[int], limit: int = 4_000_000) -> pd.D
     return pd.DataFrame({k: complete_linkage(m, k) for k in ks}, index=names)
 
 
+def sambar(mutations: DataFrame, lengths: DataFrame, sets: DataFrame, genes: DataFrame | None = None, ks: tuple[int, ...] = (2, 3, 4)) -> pd.DataFrame:
+    """Clusters of samples, a column for each k, from mutation counts (sample, gene, n): rates by gene
+    length (gene, length), scores of gene sets (set, gene), binomial distance, complete linkage.
+    Only the given genes count; samples without a mutation in them are absent."""
+    if genes is not None:
+        mutations, sets = (x.join(genes.select("gene").distinct(), "gene", "left_semi") for x in (mutations, sets))
+    return subtypes(binomial_distance(pathway_scores(gene_rate(mutations, lengths), sets)), list(ks))
+
+
 # --- associations ---------------------------------------------------------------
 
 
@@ -215,6 +256,87 @@ def running_sum(ranked: DataFrame, sets: DataFrame) -> DataFrame:
     return d.select("set", F.when(F.col("up") >= -F.col("down"), F.col("up")).otherwise(F.col("down")).alias("es"))
 
 
+def seahorse(expr: DataFrame, phenotypes: dict[str, tuple[str, DataFrame]], sets: DataFrame, **options) -> dict:
+    """Co-expression of genes, and for each phenotype the association of every gene and the
+    enrichment of gene sets (set, gene) along it. A phenotype is ("numeric", (sample, y)), by
+    correlation, or ("categorical", (sample, grp)), by the p value of an analysis of variance, which
+    ranks genes from the largest p on unless ``significant_first`` is given."""
+    from netloom.operators.networks import gene_correlation
+
+    first = options.pop("significant_first", False)
+    by_set: dict[str, list[str]] = {}
+    for r in sets.select("set", "gene").distinct().orderBy("set", "gene").toLocalIterator():
+        by_set.setdefault(r["set"], []).append(r["gene"])
+    out: dict = {"coexpression": gene_correlation(expr), "association": {}, "enrichment": {}}
+    for name, (kind, table) in phenotypes.items():
+        if kind == "numeric":
+            a = numeric_association(expr, table).select("gene", F.col("r").alias("stat"))
+        elif kind == "categorical":
+            a = anova_p(anova(expr, table)).select("gene", F.col("p").alias("stat"))
+        else:
+            raise ValueError("a phenotype is numeric or categorical")
+        out["association"][name] = a
+        ranked = a.orderBy("gene").toPandas()  # a row a gene
+        if kind == "categorical" and first:
+            ranked["stat"] = -np.log10(np.maximum(ranked["stat"], 1e-300))
+        out["enrichment"][name] = gsea(ranked, by_set, **options)
+    return out
+
+
+# --- linear models -------------------------------------------------------------------
+
+
+def linear_fit(values: DataFrame, design: pd.DataFrame, keys: tuple[str, ...] = ("tf", "gene"), value: str = "score") -> DataFrame:
+    """(keys, coefficients array, s2, df): least squares of each key's values over samples on the columns of
+    ``design`` (a row a sample). Sums of products per key are all that is shuffled; the design is
+    sent along, as it has a row a sample only. Keys without a value for every sample are absent."""
+    x = design.to_numpy(float)
+    inverse = np.linalg.inv(x.T @ x)
+    spark = values.sparkSession
+    rows = spark.createDataFrame([(s if isinstance(s, str) else int(s), [float(v) for v in r]) for s, r in zip(design.index.tolist(), x, strict=True)], f"sample {dict(values.dtypes)['sample']}, x array<double>")
+    q, n = x.shape[1], len(x)
+    y = F.col(value)
+    sums = values.join(F.broadcast(rows), "sample").groupBy(*keys).agg(
+        F.array(*(F.sum(F.col("x")[k] * y) for k in range(q))).alias("xy"), F.sum(y * y).alias("yy"), F.count(F.lit(1)).alias("n")
+    )
+    b = F.array(*(sum((F.lit(float(inverse[i, k])) * F.col("xy")[k] for k in range(1, q)), F.lit(float(inverse[i, 0])) * F.col("xy")[0]) for i in range(q)))
+    fit = sums.where(F.col("n") == n).withColumn("coefficients", b)
+    rest = F.col("yy") - F.aggregate(F.zip_with("coefficients", "xy", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    return fit.select(*keys, "coefficients", (F.greatest(rest, F.lit(0.0)) / max(n - q, 1)).alias("s2"), F.lit(n - q).alias("df"))
+
+
+def moderated_t(values: DataFrame, design: pd.DataFrame, column: int, keys: tuple[str, ...] = ("tf", "gene"), value: str = "score") -> DataFrame:
+    """(keys, effect, t, p, q): the coefficient of a design column for each key, with variances drawn
+    towards their common prior (a scaled inverse chi-square fitted to the moments of their
+    logarithms) and BH-adjusted p values."""
+    from netloom.functions.stats import benjamini_hochberg
+    from netloom.functions.tails import digamma, trigamma, trigamma_inverse
+
+    x = design.to_numpy(float)
+    unit = float(np.sqrt(np.linalg.inv(x.T @ x)[column, column]))
+    fit = linear_fit(values, design, keys, value)
+    d = len(x) - x.shape[1]
+    m, v = fit.where("s2 > 0").agg(F.avg(F.ln("s2")), F.var_samp(F.ln("s2"))).first()
+    extra = (v or 0.0) - trigamma(d / 2)
+    if m is None:
+        prior, d0 = 0.0, 0.0
+    elif extra > 0:
+        d0 = 2 * trigamma_inverse(extra)
+        prior = float(np.exp(m - digamma(d / 2) + np.log(d / 2) + digamma(d0 / 2) - np.log(d0 / 2)))
+    else:  # no more spread than chance: all share one variance
+        d0, prior = float("inf"), float(np.exp(m - digamma(d / 2) + np.log(d / 2)))
+    s2 = F.lit(prior) if d0 == float("inf") else (F.lit(d0 * prior) + F.col("s2") * d) / F.lit(d0 + d)
+    effect = F.col("coefficients")[column]
+    t = fit.select(*keys, effect.alias("effect"), F.coalesce(F.try_divide(effect, F.sqrt(s2) * unit), F.lit(0.0)).alias("t"))
+    df = min(d0 + d, 1e6)
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series) -> pd.Series:
+        return t.map(lambda z: t_two_sided(z, df))
+
+    return benjamini_hochberg(t.withColumn("p", tail("t")), "p", "q")
+
+
 def gsea(ranked: pd.DataFrame, sets: dict[str, list[str]], permutations: int = 1000, seed: int = 0, least: int = 15, most: int = 500) -> pd.DataFrame:
     """Enrichment scores with permutation p values for sets of ``least`` to ``most`` ranked genes."""
     stat = ranked["stat"].to_numpy(float)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions import stats
@@ -193,11 +192,11 @@ def spearman(spark, sf):
     "kendall",
     f"""SELECT i, j, {r6('CASE WHEN sum(d * d) = 0 OR sum(e * e) = 0 THEN 0 ELSE sum(d * e) / sqrt(sum(d * d) * sum(e * e)) END')} AS r FROM (
       SELECT p.gene AS i, x.gene AS j, sign(p.value - q.value) AS d, sign(x.value - y.value) AS e
-      FROM ev p JOIN ev q ON p.gene = q.gene AND p.sample < q.sample JOIN ev x ON x.sample = p.sample AND x.gene > p.gene JOIN ev y ON y.gene = x.gene AND y.sample = q.sample) GROUP BY i, j""",
-    _LINES, _EXPR, "ev AS (SELECT * FROM expr WHERE sample % 12 < 3)",
+      FROM expr p JOIN expr q ON p.gene = q.gene AND p.sample < q.sample JOIN expr x ON x.sample = p.sample AND x.gene > p.gene JOIN expr y ON y.gene = x.gene AND y.sample = q.sample) GROUP BY i, j""",
+    _LINES, _EXPR,
 )
 def kendall(spark, sf):
-    return _rounded(N.kendall(X.expression(spark, sf).where("sample % 12 < 3")), "r")
+    return _rounded(N.kendall(X.expression(spark, sf)), "r")
 
 
 @query(
@@ -377,17 +376,20 @@ def top_genes_per_module(spark, sf):
     return C.top_genes(s, [2, 4])
 
 
-_CE = "ce AS (SELECT DISTINCT 'r:' || tf AS a, 'b:' || part AS b FROM lines WHERE q >= 50 AND part % 7 = 0 AND tf % 3 = 0)"
+_CE = "ce AS (SELECT DISTINCT 'r:' || tf AS a, 'b:' || part AS b FROM lines WHERE q >= 50)"
 
 
 @query(
     "components",
-    """, both_ways AS (SELECT a, b FROM ce UNION SELECT b, a FROM ce), reach AS (SELECT a AS node, a AS c FROM both_ways UNION SELECT e.b, r.c FROM reach r JOIN both_ways e ON e.a = r.node)
-    SELECT node, min(c) AS component FROM reach GROUP BY node""",
+    """, both_ways AS (SELECT a, b FROM ce UNION SELECT b, a FROM ce), nodes AS (SELECT DISTINCT a FROM both_ways), cc(node, c) USING KEY (node) AS (
+      SELECT a, a FROM nodes
+      UNION SELECT e.b, min(x.c) FROM cc x JOIN both_ways e ON e.a = x.node JOIN recurring.cc r ON r.node = e.b WHERE x.c < r.c GROUP BY e.b)
+    SELECT node, c AS component FROM cc""",
     _LINES, _CE,
 )
 def components(spark, sf):
-    e = X.lines(spark, sf).where("q >= 50 AND part % 7 = 0 AND tf % 3 = 0").select(F.col("tf").alias("red"), F.col("part").alias("blue")).distinct()
+    """Components of the edges by which a supplier has shipped a whole lot of a part."""
+    e = X.lines(spark, sf).where("q >= 50").select(F.col("tf").alias("red"), F.col("part").alias("blue")).distinct()
     return C.components(e)
 
 
@@ -499,7 +501,7 @@ def qstats_weights(spark, sf):
     return _rounded(q, "qref", "w").withColumns({"sst": F.round("sst", 3), "ssb": F.round("ssb", 3)})
 
 
-_MUT = """mut AS (SELECT o_custkey AS sample, l_partkey AS gene, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0 GROUP BY 1, 2),
+_MUT = """mut AS (SELECT o_custkey AS sample, l_partkey AS gene, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 rt0 AS (SELECT sample, gene, n / p_size AS r FROM mut JOIN part ON p_partkey = gene), rt AS (SELECT sample, gene, r / sum(r) OVER (PARTITION BY sample) AS x FROM rt0)"""
 _PATH = """sets AS (SELECT DISTINCT p_type AS set, p_partkey AS gene FROM part), sz AS (SELECT set, count(*) AS size FROM sets GROUP BY set), mf AS (SELECT gene, count(*) AS f FROM sets GROUP BY gene),
 sc AS (SELECT sample, set, sum(x / f) / any_value(size) AS score FROM rt JOIN mf USING (gene) JOIN sets USING (gene) JOIN sz USING (set) GROUP BY 1, 2 HAVING sum(x) > 0)"""
@@ -507,7 +509,7 @@ sc AS (SELECT sample, set, sum(x / f) / any_value(size) AS score FROM rt JOIN mf
 
 def _rates(spark, sf) -> DataFrame:
     li, o = X.table(spark, sf, "lineitem"), X.table(spark, sf, "orders")
-    m = li.join(o.where("o_custkey % 10 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("sample"), F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).alias("n"))
+    m = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("sample"), F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).alias("n"))
     return P.gene_rate(m, X.table(spark, sf, "part").select(F.col("p_partkey").alias("gene"), F.col("p_size").alias("length")))
 
 
@@ -527,14 +529,14 @@ def sambar_pathway(spark, sf):
 
 @query(
     "binomial_distance",
-    f""", s2 AS (SELECT * FROM sc WHERE sample % 100 = 0), p AS (SELECT a.sample AS i, b.sample AS j, t.set, coalesce(x.score, 0) AS x, coalesce(y.score, 0) AS y
-      FROM (SELECT DISTINCT sample FROM s2) a JOIN (SELECT DISTINCT sample FROM s2) b ON a.sample < b.sample CROSS JOIN (SELECT DISTINCT set FROM s2) t
-      LEFT JOIN s2 x ON x.sample = a.sample AND x.set = t.set LEFT JOIN s2 y ON y.sample = b.sample AND y.set = t.set)
+    f""", p AS (SELECT a.sample AS i, b.sample AS j, t.set, coalesce(x.score, 0) AS x, coalesce(y.score, 0) AS y
+      FROM (SELECT DISTINCT sample FROM sc) a JOIN (SELECT DISTINCT sample FROM sc) b ON a.sample < b.sample CROSS JOIN (SELECT DISTINCT set FROM sc) t
+      LEFT JOIN sc x ON x.sample = a.sample AND x.set = t.set LEFT JOIN sc y ON y.sample = b.sample AND y.set = t.set)
     SELECT i, j, {r6('sum(CASE WHEN x + y > 0 THEN ((CASE WHEN x > 0 THEN x * ln(x / (x + y)) ELSE 0 END) + (CASE WHEN y > 0 THEN y * ln(y / (x + y)) ELSE 0 END)) / (x + y) + ln(2) ELSE 0 END)')} AS d FROM p GROUP BY i, j""",
     _MUT, _PATH,
 )
 def binomial_distance(spark, sf):
-    return _rounded(P.binomial_distance(_pathways(spark, sf).where("sample % 100 = 0")), "d")
+    return _rounded(P.binomial_distance(_pathways(spark, sf)), "d")
 
 
 _LV = """lv AS (SELECT i, j, count(*) AS n, avg(w) AS m, var_pop(w) AS v FROM (SELECT a.gene AS i, b.gene AS j, a.z * b.z AS w
@@ -643,10 +645,7 @@ def ecdf_pairs(spark, sf):
 
 @query("global_mean_rank", "SELECT tf, gene, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r FROM net", _LINES, _NET)
 def global_mean_rank(spark, sf):
-    n = _net(spark, sf)
-    c = n.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
-    t = c.select(F.col("a").alias("v"), (F.sum("c").over(W.orderBy("a").rowsBetween(W.unboundedPreceding, 0)) - (F.col("c") - 1) / 2.0).alias("r"))
-    return n.join(t, n["a"] == t["v"]).select("tf", "gene", "r")
+    return stats.global_rank(_net(spark, sf), "a", "r").select("tf", "gene", "r")
 
 
 @query("motif_filter_semi", "SELECT tf, gene, motif AS weight FROM net WHERE gene IN (SELECT gene FROM expr GROUP BY gene HAVING count(*) FILTER (WHERE value <> 0) > 20) AND tf IN (SELECT i FROM ppi)", _LINES, _NET, _EXPR, _PPI)
