@@ -7,7 +7,8 @@ inside generated code. Labels are the verdicts of the rules, on URLs that a rule
 training rows are a bounded sample of these. Features are length, path depth, shares of digits
 and of punctuation, Shannon entropy of the characters, numbers of query parameters and host
 labels, and how often URLs of the same suffix (the last labels of the host) are blocked among
-those the rules decide.
+those the rules decide. Suffixes are counted exactly, all of them; URLs that teach take their
+suffix's share from the other half of the URLs, by a hash, so that no label tells of itself.
 """
 
 from __future__ import annotations
@@ -30,8 +31,13 @@ RULES = (
 #: Labelled rows that a fit takes at most, in expectation.
 FIT_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE = 8, 3, 12, 0.4, 1.0
-#: Suffixes are counted by this many hash values, so that statistics cover all of them in bounded space.
-SUFFIXES = 1024
+#: Weight, in URLs, of the overall share of blocked ones in a suffix's share.
+PRIOR = 10.0
+#: A suffix with over this share of all URLs gets its counts from a table of such suffixes, which its
+#: share bounds; the others by a join, in which none is large.
+HOT = 1 / 1024
+#: Second-level labels below country domains under which names are registered.
+SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
 FEATURES = ("length", "depth", "digits", "marks", "entropy", "parameters", "labels", "suffix")
 
 
@@ -63,8 +69,33 @@ def with_rule(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 def suffix_of(host: str = "host") -> Column:
-    """The hash value (from 0) of a host's last two labels."""
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -2)), F.lit(SUFFIXES)).cast("int")
+    """A host's last two labels, or three below a country's second-level domain."""
+    last, second = F.substring_index(host, ".", -1), F.substring_index(F.substring_index(host, ".", -2), ".", 1)
+    return F.when((F.length(last) == 2) & second.isin(*SECOND), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
+def _half() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)).cast("int")
+
+
+def with_suffix_counts(urls: DataFrame) -> tuple[DataFrame, int, float]:
+    """Add ``suffix``, the numbers of URLs of the same suffix that a rule decides and of those blocked,
+    [n, y] for each half of the URLs, to ``urls(url, host, rule_verdict, ...)``; and n and y of all."""
+    rows = urls.withColumn("__suffix", suffix_of())
+    decided, blocked = F.col("rule_verdict").isNotNull(), F.col("rule_verdict").eqNullSafe("block")
+    cells = F.array(*(F.count_if((_half() == h) & what) for h in (0, 1) for what in (decided, blocked)))
+    counts = materialise(rows.groupBy("__suffix").agg(F.count(F.lit(1)).alias("all"), cells.alias("suffix")), "suffixes")
+    total, n, y = counts.agg(F.sum("all"), F.sum(F.col("suffix")[0] + F.col("suffix")[2]), F.sum(F.col("suffix")[1] + F.col("suffix")[3])).first()
+    least = F.lit((total or 0) * HOT)
+    hot = counts.where(F.col("all") > least).orderBy("__suffix").collect()  # 1 / HOT rows at most
+    known = F.create_map(*(x for r in hot for x in (F.lit(r["__suffix"]), F.array(*map(F.lit, r["suffix"]))))) if hot else None
+    rows = rows.withColumn("__hot", F.try_element_at(known, F.col("__suffix")) if hot else F.lit(None).cast("array<bigint>"))
+    # rows of hot suffixes find nothing in the join, and are spread over it
+    key = F.when(F.col("__hot").isNull(), F.col("__suffix")).otherwise(F.concat(F.lit("\n"), F.xxhash64("url").cast("string")))
+    rare = counts.where(F.col("all") <= least).select(F.col("__suffix").alias("__key"), "suffix")
+    out = rows.withColumn("__key", key).join(rare, "__key", "left")
+    none = F.array(*[F.lit(0).cast("bigint")] * 4)
+    return out.withColumn("suffix", F.coalesce("__hot", "suffix", none)).drop("__key", "__hot", "__suffix"), n or 0, float(y or 0)
 
 
 def entropy(text: str) -> str:
@@ -76,11 +107,14 @@ def entropy(text: str) -> str:
     )
 
 
-def with_features(urls: DataFrame, rates: list[float]) -> DataFrame:
-    """Add ``f_<name>`` of each feature, as doubles, from ``url``, ``host`` and ``path``; ``rates``
-    holds the share of blocked URLs for each hash value of a suffix."""
+def with_features(urls: DataFrame, overall: float, teach: bool = False) -> DataFrame:
+    """Add ``f_<name>`` of each feature, as doubles, from ``url``, ``host``, ``path`` and ``suffix``;
+    ``overall`` is the share of blocked URLs. Rows that teach take their suffix's counts from the
+    other half of the URLs."""
     url = "coalesce(url, '')"
-    rate = F.element_at(F.lit(rates), suffix_of() + 1)
+    c = F.col("suffix")
+    n, y = (F.when(_half() == 0, c[2 + k]).otherwise(c[k]) if teach else c[k] + c[2 + k] for k in (0, 1))
+    rate = (y + PRIOR * overall) / (n + PRIOR)
     made = {
         "length": F.expr(f"length({url})"),
         "depth": F.expr("length(path) - length(replace(path, '/', ''))"),
@@ -201,17 +235,14 @@ def judge(pages: DataFrame, rules=RULES, rows: int = FIT_ROWS) -> DataFrame:
     columns are ignored.
     """
     judged = with_rule(with_parts(pages.select("page_id", F.col("url").cast("string").alias("url"))), rules)
-    known = judged.where("rule IS NOT NULL").withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
-    stats = known.groupBy(suffix_of().alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
-    counted = {r["suffix"]: (r["n"], r["y"]) for r in stats.collect()}  # a row for each hash value
-    n, y = sum(x[0] for x in counted.values()), sum(x[1] for x in counted.values())
+    judged, n, y = with_suffix_counts(judged)
     overall = (y + 1) / (n + 2)
-    rates = [(b + 10 * overall) / (a + 10) for a, b in (counted.get(k, (0, 0.0)) for k in range(SUFFIXES))]
+    known = judged.where("rule IS NOT NULL").withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
     share = min(1.0, rows / max(n, 1))
     drawn = known.where(F.pmod(F.xxhash64("url", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    labelled = with_features(drawn, rates).select("y", *(f"f_{f}" for f in FEATURES))
+    labelled = with_features(drawn, overall, teach=True).select("y", *(f"f_{f}" for f in FEATURES))
     trees, base = train(materialise(labelled, "labelled"))
-    scored = with_features(judged, rates)
+    scored = with_features(judged, overall)
     score = 1 / (1 + F.exp(-raw_score(trees, base)))
     verdict = F.coalesce("rule_verdict", F.when(score >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))

@@ -226,6 +226,62 @@ def test_trees_learn_what_rules_say(spark):
     assert urls.judge(url_frame(spark, [None, None])).count() == 2
 
 
+def test_suffix_counts_against_brute_force(spark):
+    r = random.Random(7)
+    hosts = [f"h{r.randint(0, 40)}.{r.choice(['com', 'net', 'co.uk', 'org.au', 'd%d.fr' % r.randint(0, 9)])}" for _ in range(900)] + ["a.hot.net"] * 500
+    made = [f"http://{h}/{r.choice(['es', 'en', 'x'])}/{i}" for i, h in enumerate(hosts)] + [None, "", "x"]
+    judged = urls.with_rule(urls.with_parts(url_frame(spark, made).select("page_id", "url")))
+    got, n, y = urls.with_suffix_counts(judged)
+    rows = got.collect()
+    assert len(rows) == len(made)
+
+    def suffix(host):
+        p = host.split(".")
+        return ".".join(p[-3:] if len(p[-1]) == 2 and len(p) > 1 and p[-2] in urls.SECOND else p[-2:])
+
+    seen, blocked = Counter(), Counter()
+    for x in judged.collect():
+        if x.rule_verdict is not None:
+            seen[suffix(x.host)] += 1
+            blocked[suffix(x.host)] += x.rule_verdict == "block"
+    assert (n, y) == (sum(seen.values()), sum(blocked.values()))
+    assert all((x.suffix[0] + x.suffix[2], x.suffix[1] + x.suffix[3]) == (seen[suffix(x.host)], blocked[suffix(x.host)]) for x in rows)
+    for cut in (0.0, 1.0):  # all by the table, all by the join
+        old, urls.HOT = urls.HOT, cut
+        again = {x.page_id: x.suffix for x in urls.with_suffix_counts(judged)[0].collect()}
+        urls.HOT = old
+        assert again == {x.page_id: x.suffix for x in rows}
+
+
+def test_trees_on_held_out_labels(spark):
+    """Labels by lexical signs and by host, with some noise; scores of rows that taught nothing, and
+    against the same trees walked in Python."""
+    r = random.Random(11)
+
+    def one(i):
+        bad = r.random() < 0.4
+        host = r.choice(["spam.biz", "ads.info"] if bad and r.random() < 0.5 else [f"site{r.randint(0, 300)}.org"])
+        path = f"/{r.randint(10**8, 10**12)}?a={r.random()}&b={i}" if bad and r.random() < 0.8 else "/" + "/".join(r.choices(["news", "about", "people", "of"], k=r.randint(1, 4)))
+        return i, f"http://w{i}.{host}{path}", "block" if bad != (r.random() < 0.03) else "allow"
+
+    rows = [one(i) for i in range(1600)]
+    df = urls.with_parts(spark.createDataFrame(rows, "page_id bigint, url string, rule_verdict string"))
+    taught = df.withColumn("rule_verdict", F.when(F.col("page_id") < 1000, F.col("rule_verdict")))
+    counted, n, y = urls.with_suffix_counts(taught)
+    counted = counted.withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
+    overall = (y + 1) / (n + 2)
+    trees, base = urls.train(urls.with_features(counted.where("page_id < 1000"), overall, teach=True))
+    held = urls.with_features(counted.where("page_id >= 1000"), overall).withColumn("score", urls.raw_score(trees, base)).toPandas()
+    want = np.array([rows[i][2] == "block" for i in held["page_id"]])
+    assert ((held["score"] > 0) == want).mean() > 0.85 and auc(held["score"], want.astype(int)) > 0.9
+
+    def walk(t, x):
+        return t if not isinstance(t, list) else walk(t[2] if x[f"f_{t[0]}"] <= t[1] else t[3], x)
+
+    brute = [base + sum(urls.RATE * walk(t, x) for t in trees) for _, x in held.iterrows()]
+    assert np.allclose(brute, held["score"])
+
+
 def items_and_docs():
     r = random.Random(4)
     vocabulary = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(3000)]
