@@ -68,11 +68,19 @@ class Model:
         ]
 
 
-def telling(texts: list[str | None], y: np.ndarray, least: float = 4.0) -> np.ndarray:
+def strictness(toxic: int) -> float:
+    """Standard errors that tell an index from chance, given the number of toxic documents: 2 up to 50
+    of them, where no index could reach more, rising to 4 at 300 and beyond."""
+    return 2 + 2 * min(1.0, max(0.0, float(np.log(max(toxic, 1) / 50) / np.log(6))))
+
+
+def telling(texts: list[str | None], y: np.ndarray, least: float | None = None) -> np.ndarray:
     """Which indices are denser in toxic documents than in others: their mean share of a
-    document's words differs by over ``least`` standard errors (Welch), and at least 3 toxic
-    documents have them. The rest, nearly all, would only let single documents be remembered."""
+    document's words differs by over ``least`` standard errors (Welch; ``strictness`` unless given),
+    and at least 3 toxic documents have them. The rest, nearly all, would only let single
+    documents be remembered."""
     pos = y > 0
+    least = strictness(int(pos.sum())) if least is None else least
     n1, n0 = max(pos.sum(), 1), max((~pos).sum(), 1)
     seen, s1, s0, q1, q0 = (np.zeros(1 << BITS) for _ in range(5))
     for at, to in slices(texts):
@@ -215,7 +223,10 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``; learned from the
-    labels of rows whose crc32(doc_id) mod 5 is not 0. A null doc_id counts as not held out."""
+    labels of rows whose crc32(doc_id) mod 5 is not 0. A null doc_id counts as not held out and
+    teaches nothing; null, empty and wordless texts get the score of a sentence without known
+    words; repeated rows each get the same score; without labels, or with one kind only, all score
+    alike; an empty table gives no rows; other columns are ignored."""
     model = learn(docs, labels)
     out = score(docs, model)
     return out.select(

@@ -59,7 +59,8 @@ class Words:
 
 def split_words(texts: list[str | None], prefixes: tuple[int, ...] = (), digits: bool = True) -> Words:
     """Runs of letters (and digits); other bytes part words. Sentences end at . ! ? or a line
-    end. Null and empty texts have no words."""
+    end. Null and empty texts have no words. Only A-Z is lower-cased, and every character outside
+    ASCII counts as a letter: typographic signs stick to their word, and É is not é."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     ends = np.cumsum(np.array([len(x) + 1 for x in raw], np.int64)) if raw else np.zeros(0, np.int64)

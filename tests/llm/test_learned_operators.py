@@ -39,6 +39,21 @@ def test_toxicity_of_held_out_documents(spark):
     assert got.where("score < 0 OR score > 1 OR score IS NULL").isEmpty()
 
 
+def test_toxicity_of_held_out_documents_with_few_labels(spark):
+    """Five folds of some 400 labelled documents, 51 toxic; words of three of the four languages occur
+    in a handful of these only."""
+    rows = read_table(spark, BIG, "documents").join(read_table(spark, BIG, "labels"), "doc_id").where("toxic IS NOT NULL").orderBy("doc_id").toPandas()
+    y, fold, texts = rows["toxic"].to_numpy(), rows["doc_id"].to_numpy() % 5, rows["text"].tolist()
+    caught = wrong = 0
+    for k in range(5):
+        model = toxicity.fit([t for t, f in zip(texts, fold, strict=True) if f != k], y[fold != k])
+        said = model.score([t for t, f in zip(texts, fold, strict=True) if f == k]) >= 0.5
+        caught += (said & (y[fold == k] == 1)).sum()
+        wrong += (said & (y[fold == k] == 0)).sum()
+    assert caught >= 0.6 * y.sum() and wrong <= 0.01 * (y == 0).sum()
+    assert toxicity.strictness(0) == toxicity.strictness(50) == 2 and toxicity.strictness(300) == toxicity.strictness(9000) == 4
+
+
 def test_toxicity_finds_the_sentence_and_leaves_the_rest(spark):
     r = random.Random(0)
     clean, bad = [f"word{i}" for i in "abcdefghijklmnopqrst"], ["vile", "nasty", "scum"]
