@@ -15,30 +15,50 @@ from netloom.llm.queries import vocabulary_file
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5. All labelled documents may teach."""
+    """Documents whose toxicity score is under 0.5. All labelled documents may teach.
+
+    Null, empty and wordless texts score as a sentence without known words; repeated rows and rows
+    with a null id are judged each by its text; without labels all stay; an empty table stays empty.
+    """
     model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), modulus=1, remainder=1)
     return toxicity.without_toxic(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: 5-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: 5-word shingles, similarity 0.8 or more.
+
+    The smallest id stays, null ids come last, and of rows that share id and text one stays. Null,
+    empty and wordless texts are copies of each other. An empty table stays empty.
+    """
     return simhash.without_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and wordless texts hold none; repeated rows are judged alike; rows with a null id stay, as
+    they can't be told by it; without items all stay; an empty table stays empty.
+    """
     return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked; n_chars follows the text where it is changed."""
+    """All documents, with secrets masked; n_chars follows the text where it is changed.
+
+    Rows are independent, so repeated ones and null ids change nothing; null texts stay null; columns
+    of any name keep their values.
+    """
     clean = secrets.redact(docs.withColumn("__before", F.col("text")))
     n = F.when(F.col("text") != F.col("__before"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document, with its place and its ids' checksum."""
+    """A row for each piece of each document, with its place and its ids' checksum.
+
+    Null and empty texts have the end id alone; repeated rows and rows with a null id are each packed;
+    an empty table has no sequence.
+    """
     return packing.pack(docs, vocabulary_file("word_bpe_49k.json"), end_id=2, capacity=4096, checksums=True)
 
 

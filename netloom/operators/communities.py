@@ -40,8 +40,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = not new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty()
         label = new
         if not changed:
-            break
-    return label
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def condor_object(edges: DataFrame, giant: bool = True) -> DataFrame:
@@ -142,8 +142,8 @@ def brim(edges: DataFrame, blue: DataFrame, least: float = 1e-4, rounds: int = 1
         blue = best("blue", "red", d, red, k)
         history.append(community_q(edges, red, blue).agg(F.sum("q")).first()[0])
         if len(history) > 1 and history[-1] - history[-2] <= min(least, 1 / m):
-            break
-    return red, blue, history
+            return red, blue, history
+    raise RuntimeError(f"communities did not settle in {rounds} rounds")
 
 
 def projection(edges: DataFrame) -> DataFrame:
