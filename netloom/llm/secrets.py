@@ -8,8 +8,10 @@ candidate keeps the counts c of the window's characters, a map of at most ``WIND
 ``sum c log2 c``; both change only by the character that comes in and the one that goes out. A
 long candidate is passed over in runs of ``RUN`` windows, so that work grows with its length. Windows over the threshold of
 their class (hex digits, letters with digits in one case, or both cases) are merged and widened
-by a window within the candidate. Candidates of the allow list are suppressed: UUIDs, placeholder
-strings, runs with letters or digits only, paths and links of words, and what a base span covers.
+by a window within the candidate. Base spans, and words that hold a placeholder of the allow list,
+are cut out of a candidate first; what remains is a candidate again where it is long enough. Of
+these the allow list suppresses UUIDs, runs with letters or digits only, and paths and links of
+words.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ RUN = 2048
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits over a window of 20 (at most 4.32): hex digits, one case with digits, mixed.
 THRESHOLDS = {"hex": 3.05, "lower": 3.45, "mixed": 3.65}
+#: Words, without separators, that are cut out of candidates.
+PLACEHOLDER = r"(?i)[A-Za-z0-9]*(?:example|sample|dummy|placeholder|changeme|xxxxx|00000|12345678|abcdefgh)[A-Za-z0-9]*"
 #: Suppressed candidates.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxxx|00000|12345678|abcdefgh",
     r"^[A-Za-z/_=+-]*$",
     r"^[0-9/_=+-]*$",
 )
@@ -41,20 +44,22 @@ REQUIRE = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
+_NONE = "cast(array() as array<struct<s: bigint, e: bigint>>)"
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(pattern: str) -> Column:
-    """array<struct<s, e, m>> of the pattern's matches in ``text``: code points, end exclusive."""
+def _matches(pattern: str, text: str = "text") -> str:
+    """SQL: array<struct<s, e, m>> of the pattern's matches in a text: code points, end exclusive."""
     p = _lit(pattern)
-    return F.expr(
-        f"""
-        if(rlike(text, {p}),
+    return f"""
+        if(rlike({text}, {p}),
           aggregate(
             zip_with(
-              slice(split(text, {p}, -1), 1, size(regexp_extract_all(text, {p}, 0))),
-              regexp_extract_all(text, {p}, 0), (g, m) -> struct(length(g) as gap, m as m)),
+              slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))),
+              regexp_extract_all({text}, {p}, 0), (g, m) -> struct(length(g) as gap, m as m)),
             struct(0L as at, cast(array() as array<struct<s: bigint, e: bigint, m: string>>) as out),
             (acc, x) -> struct(
               acc.at + x.gap + length(x.m) as at,
@@ -62,14 +67,31 @@ def _matches(pattern: str) -> Column:
             acc -> acc.out),
           cast(array() as array<struct<s: bigint, e: bigint, m: string>>))
         """
-    )
 
 
-def _c_log_c(count: str) -> str:
-    return f"if({count} > 1, {count} * log2({count}), 0D)"
+def merged(spans: str) -> str:
+    """SQL: spans of any order made disjoint and sorted; those that touch or overlap are one."""
+    return f"""
+      aggregate(array_sort({spans}), {_NONE},
+        (a, h) -> if(size(a) > 0 and element_at(a, -1).e >= h.s,
+          concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, h.e) as e))),
+          concat(a, array(h))))"""
 
 
-_NONE = "cast(array() as array<struct<s: bigint, e: bigint>>)"
+def pieces(candidate: str, cuts: str) -> str:
+    """SQL: array<struct<s, e, m>>, what disjoint sorted cuts leave of a candidate struct, where it is
+    at least a window long."""
+    x = candidate
+    return f"""
+      transform(
+        filter(
+          zip_with(concat(array({x}.s), transform({cuts}, b -> b.e)), concat(transform({cuts}, b -> b.s), array({x}.e)), (s, e) -> struct(s as s, e as e)),
+          p -> p.e - p.s >= {WINDOW}),
+        p -> struct(p.s as s, p.e as e, substring({x}.m, int(p.s - {x}.s + 1), int(p.e - p.s)) as m))"""
+
+
+def _c_log_c(count: str) -> str:
+    return f"if({count} > 1, {count} * log2({count}), 0D)"
 
 
 def entropy_windows(candidate: str, threshold: str, window: int = WINDOW, run: int = RUN) -> str:
@@ -134,7 +156,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """
     span = "struct(x.s as s, x.e as e)"
     df = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    df = df.withColumn("assign", _matches(ASSIGN)).withColumn("access", _matches(ACCESS)).withColumn("hex", _matches(HEX))
+    df = df.withColumns({k: F.expr(_matches(p)) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))})
     df = df.withColumn(
         "assign",
         F.expr(f"transform(filter(assign, x -> length(regexp_extract(x.m, {_lit(ASSIGN)}, 2)) >= 12), x -> {span})"),
@@ -142,19 +164,20 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     for kind in ("access", "hex"):
         df = df.withColumn(kind, F.expr(f"transform({kind}, x -> {span})"))
     allowed = " or ".join(f"rlike(x.m, {_lit(p)})" for p in ALLOW)
-    df = df.withColumn("entropy", _matches(CANDIDATE))
-    df = df.withColumn("__base", F.concat("assign", "access", "hex"))
-    df = df.withColumn(
-        "entropy",
-        F.expr(f"filter(entropy, x -> rlike(x.m, {_lit(REQUIRE)}) and not ({allowed}) and not exists(__base, b -> b.s < x.e and b.e > x.s))"),
-    )
+    df = df.withColumn("entropy", F.expr(_matches(CANDIDATE))).withColumn("__base", F.concat("assign", "access", "hex"))
+    # cut base spans and placeholders out of candidates
+    words = f"transform({_matches(PLACEHOLDER, 'x.m')}, t -> struct(x.s + t.s as s, x.s + t.e as e))"
+    inside = "transform(filter(__base, b -> b.s < x.e and b.e > x.s), b -> struct(greatest(b.s, x.s) as s, least(b.e, x.e) as e))"
+    left = f"flatten(transform(entropy, x -> flatten(transform(array({merged(f'concat({inside}, {words})')}), cuts -> {pieces('x', 'cuts')}))))"
+    df = df.withColumn("entropy", F.expr(f"if(size(entropy) = 0, entropy, {left})"))
+    df = df.withColumn("entropy", F.expr(f"filter(entropy, x -> rlike(x.m, {_lit(REQUIRE)}) and not ({allowed}))"))
     cls = (
         f"if(rlike(x.m, '^[0-9a-fA-F]+$'), {THRESHOLDS['hex']}D, "
         f"if(rlike(x.m, '[a-z]') and rlike(x.m, '[A-Z]'), {THRESHOLDS['mixed']}D, {THRESHOLDS['lower']}D))"
     )
     widened = f"""struct(x.s + greatest(0L, h.s - {WINDOW}) as s, x.s + least(cast(length(x.m) as bigint), h.e + {WINDOW}) as e)"""
-    merged = joined(f"transform({joined(entropy_windows('x.m', cls))}, h -> {widened})")
-    return df.withColumn("entropy", F.expr(f"if(size(entropy) = 0, {_NONE}, flatten(transform(entropy, x -> {merged})))")).drop("__base")
+    found = joined(f"transform({joined(entropy_windows('x.m', cls))}, h -> {widened})")
+    return df.withColumn("entropy", F.expr(f"if(size(entropy) = 0, {_NONE}, flatten(transform(entropy, x -> {found})))")).drop("__base")
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -180,19 +203,13 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     # the row itself is set aside: its columns may have the names that the spans get
     aside = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text"))
     found = find_secrets(aside)
-    spans = F.expr(f"array_sort(concat({', '.join(KINDS)}))")
-    merged = F.expr(
-        """aggregate(__spans, cast(array() as array<struct<s: bigint, e: bigint>>),
-             (a, h) -> if(size(a) > 0 and element_at(a, -1).e >= h.s,
-               concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, h.e) as e))),
-               concat(a, array(h))))"""
-    )
+    spans = F.expr(merged(f"concat({', '.join(KINDS)})"))
     clean = F.expr(
         f"""aggregate(__spans, struct(0L as at, '' as out),
               (a, h) -> struct(h.e as at, concat(a.out, substring(text, int(a.at + 1), int(h.s - a.at)), {_lit(mask)}) as out),
               a -> concat(a.out, substring(text, int(a.at + 1), length(text))))"""
     )
-    out = found.withColumn("__spans", spans).withColumn("__spans", merged)
+    out = found.withColumn("__spans", spans)
     text = F.when(F.size("__spans") > 0, clean).otherwise(F.col("__row.text"))
     return out.select(*(text.alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
@@ -217,13 +234,22 @@ base AS (
   SELECT r, kind, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS k, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e
   FROM found
   WHERE kind <> 'assign' OR length(regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2)) >= 12),
+raw AS (SELECT r, i, CAST(s AS BIGINT) AS s, m, CAST(s + length(m) AS BIGINT) AS e FROM ({_spans_sql('entropy', CANDIDATE)})),
+words AS (
+  SELECT r, i, s + length(array_to_string(g[1:k], '')) + length(array_to_string(ms[1:k - 1], '')) AS s, ms[k] AS w
+  FROM (SELECT r, i, s, regexp_extract_all(m, '{PLACEHOLDER}') AS ms, string_split_regex(m, '{PLACEHOLDER}') AS g FROM raw), unnest(range(1, len(ms) + 1)) AS u(k)),
+cuts AS (
+  SELECT r, i, s, s AS e FROM raw
+  UNION ALL SELECT r, i, s, s + length(w) FROM words
+  UNION ALL SELECT c.r, c.i, greatest(b.s, c.s), least(b.e, c.e) FROM raw c JOIN base b ON b.r = c.r AND b.s < c.e AND b.e > c.s),
+reach AS (SELECT r, i, max(e) OVER w AS s, lead(s) OVER w AS e FROM cuts WINDOW w AS (PARTITION BY r, i ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+left_over AS (SELECT r, i, k.s, coalesce(k.e, c.e) - k.s AS n, substr(c.m, k.s - c.s + 1, coalesce(k.e, c.e) - k.s) AS m FROM reach k JOIN raw c USING (r, i)),
 cand AS (
-  SELECT c.r, c.i, CAST(c.s AS BIGINT) AS s, c.m,
+  SELECT r, s AS i, s, m,
          CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {THRESHOLDS['hex']}
               WHEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN {THRESHOLDS['mixed']} ELSE {THRESHOLDS['lower']} END AS th
-  FROM ({_spans_sql('entropy', CANDIDATE)}) c
-  WHERE regexp_matches(m, '{REQUIRE}') AND NOT ({_ALLOW_SQL})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.s < c.s + length(c.m) AND b.e > c.s)),
+  FROM left_over
+  WHERE n >= {WINDOW} AND regexp_matches(m, '{REQUIRE}') AND NOT ({_ALLOW_SQL})),
 chars AS (
   SELECT r, i, w, substr(substr(m, w, {WINDOW}), j, 1) AS ch
   FROM cand, unnest(range(1, length(m) - {WINDOW} + 2)) AS a(w), unnest(range(1, {WINDOW} + 1)) AS b(j)),
