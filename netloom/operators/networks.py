@@ -283,8 +283,9 @@ def targeting(networks: DataFrame, key: str = "gene") -> DataFrame:
     return networks.groupBy("sample", key).agg(F.sum("score").alias("score"))
 
 
-def top_edges(net: DataFrame, n: int, value: str = "score") -> DataFrame:
-    """The n strongest edges; ties by ends."""
+def top_edges(net: DataFrame, n: int, value: str = "score", loops: bool = True) -> DataFrame:
+    """The n strongest edges; ties by ends. Without ``loops``, edges of a tf to itself are left out."""
+    net = net if loops else net.where(F.col("tf").cast("string") != F.col("gene").cast("string"))
     return net.orderBy(F.desc(value), "tf", "gene").limit(n)
 
 

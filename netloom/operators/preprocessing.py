@@ -57,11 +57,12 @@ def sample_distance(expr: DataFrame) -> DataFrame:
     return d.groupBy(F.col("a.sample").alias("i"), F.col("b.sample").alias("j")).agg(F.sqrt(F.sum(x * x)).alias("d"))
 
 
-def scaling(expr: DataFrame, n: int = 1000, axes: int = 2, limit: int = 3000) -> pd.DataFrame:
-    """Coordinates of samples by classical scaling over the most variable genes."""
+def scaling(expr: DataFrame, n: int = 1000, axes: int = 2, limit: int = 3000, distance=sample_distance) -> pd.DataFrame:
+    """Coordinates of samples by classical scaling over the most variable genes. ``distance`` gives
+    (i, j, d), i < j, of all samples of an expression."""
     if expr.select("sample").distinct().count() > limit:
         raise ValueError("too many samples for dense scaling")
-    d = sample_distance(expr.join(top_variable(expr, n), "gene", "left_semi")).toPandas()
+    d = distance(expr.join(top_variable(expr, n), "gene", "left_semi")).toPandas()
     names = sorted(set(d["i"]) | set(d["j"]))
     at = {x: i for i, x in enumerate(names)}
     m = np.zeros((len(names), len(names)))
