@@ -15,7 +15,7 @@ from netloom.operators import preprocessing as P
 from netloom.operators import subnetworks as S
 from netloom.operators import tables as T
 from netloom.plans.catalog import (
-    _COM, _CORR, _EXPR, _GROUPS, _LINES, _NET, _PPI, _PV, _Q, _SIG, _SS, _TM, _bipartite, _groups, _members, _net, _prior, _rounded, _significant, _transitions, query, r6,
+    _BRANDS, _COM, _CORR, _EXPR, _GROUPS, _LINES, _NET, _PPI, _PV, _Q, _SIG, _SS, _TM, _bipartite, _groups, _members, _net, _prior, _rounded, _significant, _transitions, query, r6,
 )
 from netloom.sources import fixtures as X
 
@@ -162,9 +162,7 @@ def brim_step(spark, sf):
 
 @query("adj2regulon", "SELECT tf, count(*) AS n, sum(a) AS total FROM net WHERE a > 0 GROUP BY tf", _LINES, _NET)
 def adj2regulon(spark, sf):
-    brands = [f"Brand#{i}" for i in range(1, 60)]
-    have = [b for b in brands]  # absent ones are 0 and dropped again
-    r = N.adj2regulon(N.el2adj(_net(spark, sf).select("tf", "gene", F.col("a").alias("weight")), have))
+    r = N.adj2regulon(N.el2adj(_net(spark, sf).select("tf", "gene", F.col("a").alias("weight")), _BRANDS))
     return r.select("tf", F.size("tfmode").cast("bigint").alias("n"), F.aggregate(F.map_values("tfmode"), F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
