@@ -382,6 +382,47 @@ def test_passages_of_commonplace_words_are_compared(spark):
     assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {7}
 
 
+def test_latent_space_is_that_of_all_passages(spark):
+    """Of more passages than a sample ever held: no word lacks a direction, and the cosines are those
+    of a whole decomposition."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(r.choices(words, k=8)) for _ in range(30_000)]
+    hashed = decontaminate.hashed_words(frame(spark, [(i, t, "en") for i, t in enumerate([*texts, None, ""])]))
+    df, n = decontaminate.word_frequencies(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]))
+    assert n == 30_000 and df.sum() == 240_000
+    idf = decontaminate.idf_of(df, n)
+    space = decontaminate.latent_space(hashed, idf, 1)
+    assert space.any(axis=1)[df > 0].all() and not space[df == 0].any()
+
+    topics = [r.sample(words, 40) for _ in range(30)]  # those of i % 3 == 0 go unused
+    texts = [" ".join(r.choices(topics[i % 30] if i % 3 else words[:400], k=24)) for i in range(600)]
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    df, n = decontaminate.word_frequencies(docs)
+    idf = decontaminate.idf_of(df, -(-n // 3))
+    a = np.zeros((len(texts), len(idf)))
+    for i, t in enumerate(texts):
+        np.add.at(a[i], decontaminate._index(split_words([t]).hash), 1)
+    # a word said twice weighs twice, its passage's length adds up over words said
+    a *= idf / np.sqrt((a * idf**2).sum(1))[:, None]
+    s, v = np.linalg.eigh(a @ a.T)
+    at = slice(-decontaminate.DROP - 2, -decontaminate.DROP - 16, -1)  # clear ones: 20 topics, of which some lead
+    exact = a.T @ (v[:, at] / np.sqrt(s[at]))
+    got = decontaminate.latent_space(decontaminate.hashed_words(docs), idf, 3).astype(float)
+    q = np.linalg.qr(got)[0]
+    assert np.linalg.norm(q.T @ exact, axis=0).min() > 0.9
+
+
+def test_sums_of_rows():
+    r = np.random.default_rng(3)
+    table = np.vstack([r.integers(0, 9, (50, 4)), np.zeros((1, 4), int)])
+    group = np.sort(r.choice([2, 3, 7, 11, 40], 700, p=[0.01, 0.09, 0.6, 0.25, 0.05]))
+    at = r.integers(0, 50, 700)
+    groups, sums = decontaminate._sums(table, at, group)
+    assert groups.tolist() == np.unique(group).tolist()
+    assert all((s == table[at[group == g]].sum(0)).all() for g, s in zip(groups, sums, strict=True))
+
+
 def test_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(50):
