@@ -4,16 +4,16 @@ Documents are cut into passages: runs of ``BLOCK`` words, an item's length of bl
 block further each time. Words are hashed and counted over all documents. A randomised SVD of all
 TF-IDF passages (range finder with a power iteration, sums over partitions) gives a latent space;
 the leading directions, which only tell languages and common words apart, are left out, and the
-others are scaled to weigh alike. Every passage is projected, and compared with all items of its
-length by one matrix product: it is a candidate for those that its projection reaches a cosine of
-``COSINE`` with.
+others are scaled to weigh alike. A passage is a candidate for the items of its length that its
+projection reaches a cosine of ``COSINE`` with.
 
 Candidates are checked word by word: the longest common subsequence of the item and the passage
 with its surroundings must hold most of the item's words in order within a stretch not much
 longer than the item, and the item's last words, its answer, must be there as well. The
 subsequence can be no longer than the number of the item's words in the passage, so this is counted
-first. An item or a passage without a projection, as its words are all commonplace, has no cosine:
-such pairs are candidates if they have words enough in common.
+first, for all passages and items, and cosines are taken of the pairs that it leaves: no pair that
+would pass the check is lost by that. An item or a passage without a projection, as its words are
+all commonplace, has no cosine: such pairs are candidates if they have words enough in common.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ FLAT = 1e-4
 COMMON, ANSWER = 0.6, 0.5
 ANSWER_WORDS = 5
 LONGER = 1.6
+#: Share of an item's words, the commonest, that the first count leaves out. It decides the work,
+#: not the result.
+UNCOUNTED = 0.3
 #: Items to a block of queries.
 QUERIES = 512
 _WORD = re.compile(r"[^\W_]+")
@@ -298,11 +301,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     idf = idf_of(df, passages)
     space = latent_space(hashed, idf, span)
     for ids, texts in known:
-        out = out.unionByName(map_batches(x, _search(spark, ids, texts, idf, space, cosine), schema))
+        out = out.unionByName(map_batches(x, _search(spark, ids, texts, df, idf, space, cosine), schema))
     return out.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
 
 
-def _search(spark, ids: list[int], texts: list[str], idf: np.ndarray, space: np.ndarray, cosine: float = COSINE):
+def _search(spark, ids: list[int], texts: list[str], df: np.ndarray, idf: np.ndarray, space: np.ndarray, cosine: float = COSINE):
     words = [split_words([t]) for t in texts]
     keep = sorted((i for i, w in enumerate(words) if len(w.hash)), key=lambda i: len(words[i].hash))
     terms = [_index(words[i].hash) for i in keep]
@@ -314,22 +317,18 @@ def _search(spark, ids: list[int], texts: list[str], idf: np.ndarray, space: np.
     dark = norm <= flat
     vec /= np.maximum(norm, 1e-9)[:, None]
     spans = np.array([max(1, -(-len(t) // BLOCK)) for t in terms], np.int64)
-    # how many of an item's words have to be found at least
-    least = np.array([int(np.ceil(COMMON * len(t) - 1e-9)) for t in terms], np.int32)
     items = [words[i].hash.tolist() for i in keep]
+    counted, least = zip(*(_counted(t, df) for t in terms), strict=True) if terms else ((), ())
     weighted = np.vstack([weighted, np.zeros((1, weighted.shape[1]), np.float32)])  # the last row is for no term
-    shared = spark.sparkContext.broadcast((weighted, [ids[i] for i in keep], items, terms, vec, spans, least, length > flat, flat, dark, cosine))
+    shared = spark.sparkContext.broadcast((weighted, [ids[i] for i in keep], items, counted, vec, spans, np.array(least, np.int64), length > flat, flat, dark, cosine))
 
     def run(batches):
-        _, ids, items, terms, _, spans, *_ = shared.value
+        _, ids, items, counted, _, spans, *_ = shared.value
         distinct = [set(x) for x in items]
-        # which items of each length have each term; the last row is for no term
-        has = {}
-        for span in np.unique(spans).tolist():
-            mine = np.flatnonzero(spans == span)
-            has[span] = np.zeros(((1 << BITS) + 1, len(mine)), np.uint8)
-            for k, i in enumerate(mine.tolist()):
-                has[span][terms[i], k] = 1
+        # which items have each term; the last row is for no term
+        has = np.zeros(((1 << BITS) + 1, len(items)), np.uint8)
+        for k, t in enumerate(counted):
+            has[t, k] = 1
         for pdf in batches:
             docs, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             out = []
@@ -352,17 +351,21 @@ def _search(spark, ids: list[int], texts: list[str], idf: np.ndarray, space: np.
     return run
 
 
-def _over_blocks(table: np.ndarray, grid: np.ndarray, dtype) -> np.ndarray:
-    """Sums of the table's rows of each block's terms, up to each block: (blocks + 1, columns)."""
-    out = np.zeros((len(grid) + 1, table.shape[1]), dtype)
-    part = table[grid[:, 0]]
-    for k in range(1, BLOCK):
-        part += table[grid[:, k]]
-    np.cumsum(part, axis=0, dtype=dtype, out=out[1:])
-    return out
+def _counted(term: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, int]:
+    """The terms of an item that are counted in passages, and how many there have to be at least.
+
+    ``COMMON`` of the item's words have to be in the passage. If the commonest of them are not counted,
+    all of those may be there, and so many fewer of the others have to be.
+    """
+    least = int(np.ceil(COMMON * len(term) - 1e-9))
+    distinct, many = np.unique(term, return_counts=True)
+    order = np.argsort(-df[distinct], kind="stable")
+    left = np.cumsum(many[order])
+    out = int(np.searchsorted(left, min(UNCOUNTED * len(term), least - 1), side="right"))
+    return distinct[order[out:]], least - (int(left[out - 1]) if out else 0)
 
 
-def _candidates(b: Batch, has: dict[int, np.ndarray], known: tuple):
+def _candidates(b: Batch, has: np.ndarray, known: tuple):
     """(text, item, first word, end word): what has to be compared word by word, with the stretch to
     compare, the passage and two blocks on either side."""
     weighted, _, _, _, vec, spans, least, sighted, flat, dark, cosine = known
@@ -373,24 +376,42 @@ def _candidates(b: Batch, has: dict[int, np.ndarray], known: tuple):
     seen = np.append(0, np.cumsum(sighted[b.term]))
     grid = np.full((n, BLOCK), 1 << BITS)
     grid[b.block, np.arange(len(b.term)) - b.first[b.block]] = b.term
-    sums = _over_blocks(weighted, grid, np.float64)
-    for span, table in has.items():
+    # how many counted words of each item the blocks hold, up to each block; differences are right in
+    # a type that holds those of a passage
+    most = BLOCK * (int(spans[-1]) + 4)
+    dtype = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint64
+    upto = np.zeros((n + 1, len(spans)), dtype)
+    for k in range(0, n, 1024):  # what the caches hold
+        part = np.zeros((min(1024, n - k), len(spans)), np.uint8)
+        row = np.empty_like(part)
+        for j in range(BLOCK):
+            np.take(has, grid[k : k + 1024, j], axis=0, out=row, mode="clip")
+            part += row
+        upto[k + 1 : k + 1 + len(part)] = part
+    np.add.accumulate(upto, axis=0, out=upto)
+    for span in np.unique(spans).tolist():
         mine = slice(*np.searchsorted(spans, [span, span + 1]).tolist())
-        # the cosines of all passages and items
+        lo, hi = np.maximum(block - 2, first), np.minimum(block + span + 2, last)
+        own = upto[:, mine]
+        there = np.take(own, hi, axis=0)
+        there -= np.take(own, lo, axis=0)
+        x, i = np.divmod(np.flatnonzero(there >= least[mine].astype(dtype)), there.shape[1])
+        if not len(x):
+            continue
+        # the cosines of these passages and items
         stop = np.minimum(block + span, last)
-        y = (sums[stop] - sums[:n]).astype(np.float32)
+        passage, of = np.unique(x, return_inverse=True)
+        many = bounds[stop[passage]] - bounds[passage]
+        at = np.arange(many.sum()) + np.repeat(bounds[passage] - (np.cumsum(many) - many), many)
+        _, y = _sums(weighted, b.term[at], np.repeat(np.arange(len(passage)), many))
         norm = np.linalg.norm(y, axis=1)
-        blind = (seen[bounds[stop]] == seen[b.first]) | (norm <= flat)
+        blind = (seen[bounds[stop[passage]]] == seen[bounds[passage]]) | (norm <= flat)
         y /= np.maximum(norm, 1e-9)[:, None]
-        hit = y @ vec[mine].T >= cosine
-        hit[blind] = True
-        hit[:, dark[mine]] = True
-        # how many words of each item are there
-        held = _over_blocks(table, grid, np.int32)
-        lo, hi = np.maximum(block - 2, first), np.minimum(block + span + 2, last)
-        hit &= held[hi] - held[lo] >= least[mine]
-        x, i = np.nonzero(hit)
-        yield from zip(b.of[x].tolist(), (i + mine.start).tolist(), bounds[lo[x]].tolist(), bounds[hi[x]].tolist(), strict=True)
+        i += mine.start
+        hit = np.einsum("ij,ij->i", y[of], vec[i]) >= cosine
+        hit |= blind[of] | dark[i]
+        x, i = x[hit], i[hit]
+        yield from zip(b.of[x].tolist(), i.tolist(), bounds[lo[x]].tolist(), bounds[hi[x]].tolist(), strict=True)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -423,6 +423,22 @@ def test_sums_of_rows():
     assert all((s == table[at[group == g]].sum(0)).all() for g, s in zip(groups, sums, strict=True))
 
 
+def test_the_first_count_loses_no_pair():
+    """Whatever holds an item in the sense of ``same_text`` has the counted words often enough."""
+    r = random.Random(14)
+    df = np.random.default_rng(1).integers(0, 99, 1 << decontaminate.BITS)
+    passed = 0
+    for _ in range(3000):
+        item = r.choices(range(30), k=r.randint(1, 30))
+        passage = [w for w in item if r.random() < 0.7] + r.choices(range(40), k=r.randint(0, 8))
+        terms, least = decontaminate._counted(np.array(item), df)
+        assert least >= 1
+        if decontaminate.same_text(item, passage):
+            passed += 1
+            assert np.isin(passage, terms).sum() >= least
+    assert passed > 500
+
+
 def test_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(50):
