@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -413,6 +414,17 @@ def test_latent_space_is_that_of_all_passages(spark):
     assert np.linalg.norm(q.T @ exact, axis=0).min() > 0.9
 
 
+def test_the_driver_holds_few_copies_of_the_directions(spark):
+    """A matrix of all terms and directions takes 8 MB; the pipeline's driver has 1,500 MB in all."""
+    hashed = decontaminate.hashed_words(frame(spark, [(i, f"a{i} b{i % 7} c{i % 50}", "en") for i in range(200)]))
+    idf = np.ones(1 << decontaminate.BITS, np.float32)
+    tracemalloc.start()
+    decontaminate.latent_space(hashed, idf, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * 8e6
+
+
 def test_sums_of_rows():
     r = np.random.default_rng(3)
     table = np.vstack([r.integers(0, 9, (50, 4)), np.zeros((1, 4), int)])
