@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into passages: runs of ``BLOCK`` words, an item's length of blocks at a time, a
-block further each time. Words are hashed and counted over all documents. A randomised SVD of all
-TF-IDF passages (range finder with a power iteration, sums over partitions) gives a latent space;
-the leading directions, which only tell languages and common words apart, are left out, and the
-others are scaled to weigh alike. A passage is a candidate for the items of its length that its
-projection reaches a cosine of ``COSINE`` with.
+block further each time. Words are hashed and counted over all documents. A randomised SVD of the
+TF-IDF passages of the median item's length, from every block of every text on (range finder with
+a power iteration, sums over partitions), gives a latent space; the leading directions, which only
+tell languages and common words apart, are left out, and the others are scaled to weigh alike. A
+passage is a candidate for the items of its length that its projection reaches a cosine of
+``COSINE`` with.
 
 Candidates are checked word by word: the longest common subsequence of the item and the passage
 with its surroundings must hold most of the item's words in order within a stretch not much
@@ -144,6 +145,17 @@ def _sums(table: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndar
         table, at, group = out, np.arange(len(grid)), np.repeat(group[new], eights)
 
 
+def _between(rows: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[a:b]`` for each of the bounds, which rise."""
+    out = np.empty((len(start), *rows.shape[1:]), rows.dtype)
+    for k in range(0, len(start), 1024):  # what the caches hold
+        a, b = start[k : k + 1024], stop[k : k + 1024]
+        upto = np.zeros((b[-1] - a[0] + 1, *rows.shape[1:]))
+        np.cumsum(rows[a[0] : b[-1]], axis=0, out=upto[1:])
+        out[k : k + 1024] = upto[b - a[0]] - upto[a - a[0]]
+    return out
+
+
 def _gram(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Singular values of a tall matrix, largest first, and its right singular vectors, from the
     small matrix ``z' z``."""
@@ -156,8 +168,8 @@ def _gram(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def latent_space(hashed: DataFrame, idf: np.ndarray, span: int, seed: int = 7) -> np.ndarray:
-    """(terms, RANK) directions: right singular vectors of the TF-IDF passages, ``span`` blocks
-    each, of all texts of ``hashed_words``.
+    """(terms, RANK) directions: right singular vectors of the TF-IDF passages of all texts of
+    ``hashed_words``: from each block on that has ``span`` blocks left; a shorter text is one passage.
 
     Each step of the subspace iteration is a sum over partitions of ``A' (A Q)``, whose size
     depends on the number of terms, directions and cores only.
@@ -166,7 +178,6 @@ def latent_space(hashed: DataFrame, idf: np.ndarray, span: int, seed: int = 7) -
     width = RANK + DROP + EXTRA
     q = np.random.default_rng(seed).standard_normal((1 << BITS, width), np.float32)
     slice_rows = 1 << 12
-    size = BLOCK * span
     few = hashed.coalesce(max(6, 2 * spark.sparkContext.defaultParallelism))  # all rows; each task sends sums of all terms
 
     def step(q: np.ndarray) -> np.ndarray:
@@ -183,18 +194,28 @@ def latent_space(hashed: DataFrame, idf: np.ndarray, span: int, seed: int = 7) -
                     raw = texts[at:to]
                     term = np.frombuffer(b"".join(raw), "<u2").astype(np.int64)
                     many = np.array([len(x) // 2 for x in raw], np.int64)
-                    pieces = -(-many // size)
+                    pieces = -(-many // BLOCK)
+                    ends = np.cumsum(pieces)
                     place = np.arange(len(term)) - np.repeat(np.cumsum(many) - many, many)
-                    row = np.repeat(np.cumsum(pieces) - pieces, many) + place // size
+                    row = np.repeat(ends - pieces, many) + place // BLOCK
                     use = idf[term] > 0
                     term, row = term[use], row[use]
                     if not len(term):
                         continue
-                    _, y = _sums(weighted, term, row)
-                    row = np.cumsum(np.diff(row, prepend=row[0]) > 0)
-                    y /= np.bincount(row, idf[term] ** 2)[:, None].astype(np.float32)  # rows of unit length, on both sides
+                    # a block is in the passages that begin up to span - 1 blocks before it
+                    block, head, tail = np.arange(ends[-1]), np.repeat(ends - pieces, pieces), np.repeat(ends, pieces)
+                    stop, since = np.minimum(block + span, tail), np.maximum(block - span + 1, head)
+                    whole = (block == head) | (block + span <= tail)
+                    there, sums = _sums(weighted, term, row)
+                    y = np.zeros((len(block), width), np.float32)
+                    y[there] = sums
+                    y = _between(y, block, stop)
+                    norm = _between(np.bincount(row, idf[term] ** 2, len(block)), block, stop)
+                    lit = whole & (_between(np.bincount(row, minlength=len(block)), block, stop) > 0)
+                    y *= np.where(lit, 1 / np.where(lit, norm, 1), 0)[:, None].astype(np.float32)  # rows of unit length, on both sides
+                    y = np.vstack([_between(y, since, block + 1), none])
                     order = np.argsort(term.astype(np.uint16), kind="stable")
-                    term, back = _sums(np.vstack([y, none]), row[order], term[order])
+                    term, back = _sums(y, row[order], term[order])
                     total[term] += back
             total *= idf[:, None]
             for k in range(0, 1 << BITS, slice_rows):

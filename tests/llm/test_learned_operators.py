@@ -414,6 +414,38 @@ def test_latent_space_is_that_of_all_passages(spark):
     assert np.linalg.norm(q.T @ exact, axis=0).min() > 0.9
 
 
+def test_latent_space_has_the_passages_from_every_block(spark):
+    """Two kinds of words of a topic meet across the bounds of disjoint passages only: of these, each kind
+    would be a direction of its own, and there would be no place for half of the topics."""
+    r = random.Random(15)
+    noise = [f"w{i}" for i in range(600)]
+    texts = []
+    for t in range(48):
+        p, q = ([f"{x}{t}x{i}" for i in range(12)] for x in "pq")
+        texts += [" ".join([*r.choices(noise, k=8), *r.choices(p, k=8), *r.choices(q, k=8), *r.choices(noise, k=5)]) for _ in range(60 - t // 2)]
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate([*texts, None, ""])])
+    df, n = decontaminate.word_frequencies(docs)
+    idf = decontaminate.idf_of(df, -(-n // 2))
+    got = decontaminate.latent_space(decontaminate.hashed_words(docs), idf, 2).astype(float)
+    known = np.flatnonzero(df)
+    a = []
+    for text in texts:
+        w = np.searchsorted(known, decontaminate._index(split_words([text]).hash))
+        a += [np.bincount(w[k : k + 16], minlength=len(known)) for k in (0, 8, 16)]
+    a = np.array(a) * idf[known]
+    a /= np.sqrt((a * idf[known]).sum(1))[:, None]  # as above: a passage's length adds up over words said
+    exact = np.linalg.eigh(a.T @ a)[1][:, ::-1][:, 34:44]
+    assert np.linalg.norm(np.linalg.qr(got[known])[0].T @ exact, axis=0).min() > 0.8
+
+
+def test_sums_between_bounds():
+    r = np.random.default_rng(2)
+    rows = r.integers(0, 9, (5000, 3)).astype(np.float32)
+    for start, stop in ((np.arange(5000), np.minimum(np.arange(5000) + 7, 5000)), (np.maximum(np.arange(5000) - 1500, 0), np.arange(1, 5001))):
+        got = decontaminate._between(rows, start, stop)
+        assert all((got[k] == rows[start[k] : stop[k]].sum(0)).all() for k in range(0, 5000, 11))
+
+
 def test_the_driver_holds_few_copies_of_the_directions(spark):
     """A matrix of all terms and directions takes 8 MB; the pipeline's driver has 1,500 MB in all."""
     hashed = decontaminate.hashed_words(frame(spark, [(i, f"a{i} b{i % 7} c{i % 50}", "en") for i in range(200)]))
