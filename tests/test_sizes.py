@@ -41,3 +41,81 @@ def test_interactions_follow_their_sql_without_a_look_up_of_pairs(spark, tmp_pat
     _, want = sql_rows(database(str(tmp_path)), f"WITH {catalog._PPI} SELECT * FROM ppi")
     assert got == want and len(got) == 10
     assert "Aggregate" not in plan_of(p) and "Deduplicate" not in plan_of(p)
+
+
+@pytest.fixture(scope="module")
+def inputs(spark):
+    """Expression, prior and interactions of 30 tfs and 7 genes; interactions differ by their direction."""
+    r = np.random.default_rng(3)
+    tfs, genes = list(range(10, 40)), [f"g{k}" for k in range(7)]
+    e = spark.createDataFrame([(g, s, float(r.normal())) for g in genes for s in range(9)], "gene string, sample int, value double")
+    m = spark.createDataFrame([(t, g, float(r.random() < 0.4)) for t in tfs for g in genes], "tf bigint, gene string, weight double")
+    p = spark.createDataFrame([(a, b, float(r.random())) for a in tfs for b in tfs if r.random() < 0.2] + [(99, 10, 1.0)], "i bigint, j bigint, weight double")
+    return e, m, p
+
+
+def values(df):
+    return df.toPandas().sort_values(df.columns[:2]).iloc[:, -1].to_numpy()
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda I, e, m, p: I.panda(e, m, p), lambda I, e, m, p: I.panda(e, m, None), lambda I, e, m, p: I.puma(e, m, p, mirs=[12, 17]),
+        lambda I, e, m, p: I.spider(e, m, m, p), lambda I, e, m, p: I.otter(e, m, p, rounds=5),
+    ],
+    ids=["panda", "panda alone", "puma", "spider", "otter"],
+)
+def test_blocks_give_what_the_whole_matrix_gives(monkeypatch, inputs, run):
+    from netloom.operators import inference as I
+    from netloom.operators import tiles as B
+
+    want = values(run(I, *inputs))
+    monkeypatch.setattr(B, "DENSE", 100)
+    monkeypatch.setattr(B, "WIDTH", 8)
+    monkeypatch.setattr(B, "CELLS", 120)
+
+    def dense(*_, **__):
+        raise AssertionError("a matrix of all tfs")
+
+    monkeypatch.setattr(I.K, "panda", dense)
+    monkeypatch.setattr(I.K, "otter", dense)
+    assert np.allclose(values(run(I, *inputs)), want, rtol=1e-9, atol=1e-11)
+
+
+@pytest.mark.parametrize("n, g", [(30, 7), (6, 9), (2, 3)])
+@pytest.mark.parametrize("remove", [True, False])
+def test_transitions_by_blocks(monkeypatch, spark, n, g, remove):
+    from netloom.operators import inference as I
+    from netloom.operators import tiles as B
+
+    r = np.random.default_rng(n)
+    a, b = r.normal(size=(2, n, g))
+    a[1] = a[0] if n > 6 else a[1]
+    net = lambda x: spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(n) for j in range(g)], "tf bigint, gene string, score double")
+    want = values(I.monster(net(a), net(b), remove_diagonal=remove))
+    monkeypatch.setattr(B, "DENSE", 1)
+    monkeypatch.setattr(B, "CELLS", 50)
+    monkeypatch.setattr(I, "_frame", None)
+    assert np.allclose(values(I.monster(net(a), net(b), remove_diagonal=remove)), want, rtol=1e-7, atol=1e-9)
+
+
+def test_normal_equations_of_partly_shared_and_unknown_scores(spark):
+    from netloom.operators import inference as I
+
+    rows = [(1, "a", 1.0, 2.0), (1, "b", 3.0, 5.0), (1, "b", 4.0, 1.0), (2, "b", 2.0, None), (2, "c", 7.0, 3.0), (3, "d", 1.0, 1.0)]
+    net = spark.createDataFrame(rows, "tf bigint, gene string, a double, b double")
+    got = {(r.i, r.j): (r.gram, r.cross) for r in I.normal_equations(net).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)}
+    z = {t: [(g, a - np.mean([x[2] for x in rows if x[0] == t]), None if b is None else b - np.mean([x[3] for x in rows if x[0] == t and x[3] is not None])) for u, g, a, b in rows if u == t] for t in (1, 2, 3)}
+    for (i, j), (gram, cross) in got.items():
+        pairs = [(x, u, v) for h, x, _ in z[i] for k, u, v in z[j] if h == k]
+        assert np.isclose(gram, sum(x * u for x, u, _ in pairs))
+        known = [x * v for x, _, v in pairs if v is not None]
+        assert cross is None if not known else np.isclose(cross, sum(known))
+
+
+@pytest.mark.parametrize("name", ["panda_step", "otter_step", "panda_cooperation_step", "puma_cooperation_step", "monster_normal_equations"])
+def test_no_pair_of_tfs_is_joined(spark, sf, name):
+    plan = plan_of(catalog.QUERIES[name](spark, sf))
+    assert "Join" not in plan and "Window" not in plan and "MapInArrow" in plan
