@@ -4,15 +4,14 @@ differential modules; wrappers, accessors, a simulator, annotation terms."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import communities as C
 from netloom.operators.networks import merge_networks
 
-#: Nodes of a dense modularity matrix that the sequential search takes.
-NODES = 5000
+#: Cells of tfs x genes that the sequential search takes.
+CELLS = 50_000_000
 
 
 def members(result: DataFrame, target: str = "all") -> DataFrame:
@@ -65,30 +64,16 @@ def _sided(table: DataFrame) -> DataFrame:
     return table.withColumns({"node": node_to_gene(), "side": side})
 
 
-def _square(wide: pd.DataFrame) -> np.ndarray:
-    n, m = wide.shape
-    out = np.zeros((n + m, n + m))
-    out[:n, n:] = wide.to_numpy(float)
-    return out + out.T
-
-
-def louvain_modules(d: DataFrame, limit: int = NODES) -> tuple[DataFrame, DataFrame]:
-    """(node, com) of tfs and of genes by generalised Louvain over (tf, gene, d). The search is
-    sequential and takes a dense matrix: nodes are checked against ``limit`` first."""
-    n, m = d.agg(F.count_distinct("tf"), F.count_distinct("gene")).first()
-    if n + m > limit:
-        raise ValueError(f"{n + m} nodes are over the limit of {limit} for the sequential module search")
-    wide = d.toPandas().pivot(index="tf", columns="gene", values="d").fillna(0.0).sort_index(axis=0).sort_index(axis=1)
-    com = C.louvain(_square(wide))
-    spark = d.sparkSession
-    make = lambda names, c: spark.createDataFrame([(str(x), int(k)) for x, k in zip(names, c, strict=True)], "node string, com bigint")
-    return make(wide.index, com[: len(wide.index)]), make(wide.columns, com[len(wide.index) :])
+def louvain_modules(d: DataFrame, limit: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """(node, com) of tfs and of genes by generalised Louvain over (tf, gene, d), whose cells are checked
+    against ``limit`` first, as the search is sequential."""
+    return C.bipartite_louvain(d, limit)
 
 
 def wbm_louvain(edges: DataFrame) -> DataFrame:
     """(node, side, module, score) of one network (tf, gene, weight): generalised Louvain on its
     bipartite modularity, and each node's share of its module's modularity."""
-    e = edges.select(F.col("tf").cast("string").alias("red"), F.col("gene").cast("string").alias("blue"), "weight")
+    e = edges.select(F.col("tf").cast("string").alias("red"), F.col("gene").cast("string").alias("blue"), "weight").transform(C.checkpoint_ready)
     d = C.checkpoint_ready(C.modularity_matrix(e).select(F.col("red").alias("tf"), F.col("blue").alias("gene"), F.col("b").alias("d")))
     tf, gene = louvain_modules(d)
     return C.module_scores(d, tf, gene)

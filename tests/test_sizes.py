@@ -119,3 +119,65 @@ def test_normal_equations_of_partly_shared_and_unknown_scores(spark):
 def test_no_pair_of_tfs_is_joined(spark, sf, name):
     plan = plan_of(catalog.QUERIES[name](spark, sf))
     assert "Join" not in plan and "Window" not in plan and "MapInArrow" in plan
+
+
+def plain_louvain(mat):
+    """Generalised Louvain with a matrix of memberships, as the method is described."""
+    whole = np.arange(len(mat))
+    while True:
+        n = len(mat)
+        com = np.arange(n)
+        moved = True
+        while moved:
+            moved = False
+            for i in range(n):
+                gain = np.array([mat[i, (com == c) & (np.arange(n) != i)].sum() for c in range(n)])
+                top = int(np.argmax(gain))
+                if gain[top] - gain[com[i]] > 1e-12:
+                    com[i], moved = top, True
+        names = list(dict.fromkeys(com.tolist()))
+        com = np.array([names.index(c) for c in com])
+        whole = com[whole]
+        if len(names) == n:
+            return whole
+        p = np.eye(len(names))[com]
+        mat = p.T @ mat @ p
+
+
+def test_louvain_of_cells_and_of_factors():
+    from netloom.operators import communities as C
+
+    for k in range(6):
+        r = np.random.default_rng(k)
+        w = r.normal(size=(14, 3))
+        sign = np.array([1.0, 1.0, -1.0])
+        whole = w * sign @ w.T
+        assert C.louvain(whole).tolist() == C.factored_louvain(w, sign).tolist() == plain_louvain(whole).tolist()
+        wide = np.zeros((16, 16))
+        wide[:5, 5:] = np.where(r.random((5, 11)) < 0.7, r.normal(size=(5, 11)), 0)
+        assert C.louvain(wide + wide.T).tolist() == plain_louvain(wide + wide.T).tolist()
+
+
+def test_seed_is_that_of_the_whole_projection(spark):
+    from netloom.operators import communities as C
+
+    r = np.random.default_rng(5)
+    w = np.where(r.random((6, 20)) < 0.4, r.random((6, 20)), 0)
+    w[0, ~w.any(0)] = 0.5
+    e = spark.createDataFrame([(f"r{i}", f"b{j:02}", float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "red string, blue string, weight double")
+    m = w.T @ w
+    np.fill_diagonal(m, 0)
+    k = m.sum(1)
+    want = plain_louvain(m - np.outer(k, k) / m.sum())
+    got = {x.node: x.com for x in C.seed_communities(e, limit=10).collect()}  # the limit is on what is sequential and dense
+    assert [got[f"b{j:02}"] for j in range(20)] == want.tolist()
+
+
+def test_modules_of_more_nodes_than_a_dense_matrix_may_have(spark):
+    from netloom.operators import modules as M
+
+    n = 5200
+    d = spark.range(n).selectExpr("concat('t', id) AS tf", "explode(array('a', 'b')) AS gene", "if((id % 2 = 0) = (gene = 'a'), 1D, -1D) AS d")
+    tf, gene = M.louvain_modules(d)
+    com = {r.node: r.com for r in tf.collect()}
+    assert len(com) == n and len(set(com.values())) == 2 and all(com[f"t{k}"] == com[f"t{k % 2}"] for k in range(n))
