@@ -181,3 +181,21 @@ def test_modules_of_more_nodes_than_a_dense_matrix_may_have(spark):
     tf, gene = M.louvain_modules(d)
     com = {r.node: r.com for r in tf.collect()}
     assert len(com) == n and len(set(com.values())) == 2 and all(com[f"t{k}"] == com[f"t{k % 2}"] for k in range(n))
+
+
+def test_distances_of_samples_shuffle_no_pairs(spark):
+    from netloom.operators import preprocessing as P
+
+    r = np.random.default_rng(2)
+    x = np.where(r.random((9, 5)) < 0.5, r.random((9, 5)), 0)
+    x[0], x[1], x[2] = [0, 0, 1, 0, 0], [1, 0, 0, 0, 0], [0.2, 0, 0.3, 0, 0]
+    d = P.binomial_distance(spark.createDataFrame([(int(i), f"s{s}", float(x[i, s])) for i, s in zip(*np.nonzero(x), strict=True)], "sample bigint, set string, score double"))
+    names = [i for i in range(9) if x[i].any()]
+    want = {}
+    for i in names:
+        for j in names:
+            if i < j:
+                want[i, j] = sum(((a * np.log(a / (a + b)) if a else 0) + (b * np.log(b / (a + b)) if b else 0)) / (a + b) + np.log(2) for a, b in zip(x[i], x[j], strict=True) if a + b > 0)
+    got = {(q.i, q.j): q.d for q in d.collect()}
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k], atol=1e-12) for k in want)
+    assert "Join" not in plan_of(d) and "Aggregate" not in plan_of(d)
